@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecframe.llm import copies, topn
+from vecframe.llm import conversations, copies, topn
 from vecframe.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: copies.p1_members(read_table(s, d, "cache_entries")),
         "p1_records": lambda s, d: copies.p1_records(read_table(s, d, "cache_entries")),
         "p3_found": lambda s, d: topn.p3_topn(read_table(s, d, "route_matches")).selectExpr("g as route_name", "id as match_id"),
+        "p4_found": lambda s, d: conversations.p4_conversations(read_table(s, d, "history_messages")).selectExpr("session as session_id", "turn as turn_no", "id as message_id"),
     }
 
 
@@ -28,4 +29,20 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT regexp_replace(route_name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') route_name, match_id, distance
                     FROM route_matches WHERE distance IS NOT NULL AND NOT isnan(distance))
               WHERE route_name <> '') WHERE r <= 5""",
+        "p4_found": r"""
+            WITH m AS (
+              SELECT DISTINCT ON (message_id) message_id, seq_no,
+                regexp_replace(session_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') sid,
+                CASE lower(regexp_replace(speaker_role, '[\s\p{Z}]+', '', 'g'))
+                  WHEN 'user' THEN 'u' WHEN 'human' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'bot' THEN 'a'
+                  WHEN 'ai' THEN 'a' WHEN 'system' THEN 's' ELSE 'x' END role,
+                coalesce(regexp_matches(content, '[^\s\p{Z}\p{Cc}\p{Cf}]'), false) shown,
+                coalesce(make_timestamp(1000 * TRY_CAST(CASE WHEN regexp_full_match(sent_ms, '-?[0-9]+') THEN sent_ms END AS BIGINT)),
+                         CAST(TRY_CAST(CASE WHEN sent_ms LIKE '%T%' THEN sent_ms END AS TIMESTAMPTZ) AS TIMESTAMP)) ts
+              FROM history_messages ORDER BY message_id),
+            k AS (
+              SELECT sid FROM m GROUP BY sid HAVING bool_and(role <> 'x' AND shown AND ts IS NOT NULL)
+                AND regexp_full_match(string_agg(role, '' ORDER BY ts, seq_no NULLS FIRST, message_id), 's*(ua)+'))
+            SELECT sid AS session_id, row_number() OVER (PARTITION BY sid ORDER BY ts, seq_no NULLS FIRST, message_id) AS turn_no, message_id
+            FROM m SEMI JOIN k USING (sid) WHERE sid <> ''""",
     }
