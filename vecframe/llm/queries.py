@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecframe.llm import conversations, copies, topn
+from vecframe.llm import conversations, copies, neighbors, topn
 from vecframe.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: copies.p1_members(read_table(s, d, "cache_entries")),
         "p1_records": lambda s, d: copies.p1_records(read_table(s, d, "cache_entries")),
+        "p2_found": lambda s, d: neighbors.p2_pairs(read_table(s, d, "advanced_docs")),
+        "p2_neighbors": lambda s, d: neighbors.p2_neighbors(read_table(s, d, "advanced_docs")).selectExpr("id as adv_id", "posexplode(near) as (pos, hit)").selectExpr("adv_id", "pos + 1 as place", "hit.id as neighbor_id", "-hit.far as cosine"),
         "p3_found": lambda s, d: topn.p3_topn(read_table(s, d, "route_matches")).selectExpr("g as route_name", "id as match_id"),
         "p4_found": lambda s, d: conversations.p4_conversations(read_table(s, d, "history_messages")).selectExpr("session as session_id", "turn as turn_no", "id as message_id"),
     }
@@ -23,6 +25,14 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": """
+            WITH v AS (SELECT DISTINCT ON (adv_id) adv_id, embedding::DOUBLE[384] e FROM advanced_docs
+                       WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+                         AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            r AS (SELECT a.adv_id a, b.adv_id b, row_number() OVER (PARTITION BY a.adv_id
+                    ORDER BY round(array_cosine_similarity(a.e, b.e), 6) DESC, b.adv_id) r
+                  FROM v a JOIN v b ON a.adv_id <> b.adv_id)
+            SELECT DISTINCT least(a, b) AS adv_id_a, greatest(a, b) AS adv_id_b FROM r WHERE r <= 10""",
         "p3_found": r"""
             SELECT DISTINCT route_name, match_id FROM (
               SELECT route_name, match_id, dense_rank() OVER (PARTITION BY route_name ORDER BY distance, match_id) r
