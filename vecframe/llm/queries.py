@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecframe.llm import conversations, copies, leakage, neighbors, packing, topn
+from vecframe.llm import conversations, copies, leakage, neighbors, packing, sentences, topn
 from vecframe.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: conversations.p4_conversations(read_table(s, d, "history_messages")).selectExpr("session as session_id", "turn as turn_no", "id as message_id"),
         "p6_pack": lambda s, d: packing.p6_pack(read_table(s, d, "documents")).withColumnRenamed("id", "doc_id"),
         "p7_found": lambda s, d: leakage.p7_leaked(read_table(s, d, "documents"), read_table(s, d, "eval_items")).selectExpr("id as doc_id", "item as item_id"),
+        "p8_found": lambda s, d: sentences.p8_units(read_table(s, d, "documents")).withColumnRenamed("id", "doc_id"),
     }
 
 
