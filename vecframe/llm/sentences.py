@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEPT, END, QUOTED, GAP = "", "", "", ""
+KEPT, END, QUOTED, GAP = "\ue000", "\ue001", "\ue002", "\x04"
+#: Quotation marks by what they may do, each as one placeholder: open, close, both, and those of Chinese and Japanese.
+#: These and ``GAP`` are control characters, for Java tests a class of such characters by one look into a table.
+OPENS, SHUTS, BOTH, CORNER, CORNER_SHUTS = "\x01", "\x02", "\x03", "\x05", "\x06"
+_MARKS = {"„": OPENS, "«": OPENS, "‹": OPENS, "『": OPENS, "”": SHUTS, "»": SHUTS, "›": SHUTS, "』": SHUTS, "“": BOTH, "「": CORNER, "」": CORNER_SHUTS}
 
 # Abbreviations before which a sentence goes on, whatever follows.
 ABBREVIATIONS = (
@@ -22,7 +26,7 @@ ABBREVIATIONS = (
     "κ κα κκ βλ δηλ πρβλ καθ डॉ श्री प्रो पं سم د أ م ص"
 ).split()
 # Abbreviations with several full stops, each part before one.
-SPACED = ["z B", "d h", "u a", "u U", "o ä", "i d R", "s o", "s u", "p ex", "c -à-d", "p ej", "EE UU", "т е", "т к", "т н", "π χ", "e g", "i e", "n b"]
+SPACED = ["z B", "d h", "u a", "u U", "o ä", "s o", "s u", "p ex", "c -à-d", "p ej", "EE UU", "т е", "т к", "т н", "π χ", "e g", "i e", "n b"]
 # Abbreviations before a number.
 NUMBERED = (
     "No Nos no Nr nr N p pp P S s Fig Figs fig Sec Secs sec Ch ch Vol vol Art art Abb Tab Kap Bd Anm Zf cap núm pág págs "
@@ -33,8 +37,8 @@ ORDINAL_BEFORE = "der die das dem den des am im vom zum zur beim seit bis ab jed
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 # What goes on after a quotation, in scripts without capital letters.
 AFTER_QUOTE = (
-    r"(?:[,،、，;؛:：]|と|って|という|との|などと|然后|随后|接着|之后|于是|便|就|并|而后|后来|的|[他她它我你您]们?[^。！？，：“「]{0,4}[问說说道答喊叫写]"
-    r"|[^。！？，：“”「」\s]{1,8}(?:问道|说道|答道|喊道|写道|问|说)[。，]|[彼私僕][^。「]{0,8}(?:言|尋ね|聞|答え|叫)"
+    r"(?:[,،、，;؛:：]|と|って|という|との|などと|然后|随后|接着|之后|于是|便|就|并|而后|后来|的|[他她它我你您]们?[^。！？，：\x03\x05]{0,4}[问說说道答喊叫写]"
+    r"|[^。！？，：\x01-\x06\s]{1,8}(?:问道|说道|答道|喊道|写道|问|说)[。，]|[彼私僕][^。\x05]{0,8}(?:言|尋ね|聞|答え|叫)"
     r"|(?:और|तो|फिर|लेकिन|पर|मगर|तथा|व|ऐसा|यह|कहकर|बोला|बोली|पूछा|कहा)(?![\p{L}\p{M}])|(?:ثم|حين|عندما|قبل|بعد|لكن|قال|قالت|سأل|سألت|وقال|وسأل|وغادر)(?![\p{L}\p{M}])|و(?=\p{L}))"
 )
 # Verbs that report a quotation after a name.
@@ -46,8 +50,8 @@ _STRONG = "。！？｡।॥؟۔"
 _WEAK = ".!?…"
 _CASELESS = r"\p{IsDevanagari}\p{IsArabic}\p{IsHebrew}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}"
 _SHUT = r"\)\]}）】〕》〉’*_"
-_QUOTES_SHUT = r"”“»›」』\""
-_OPEN = r"[\"“„«‹‘'(\[{（「『¿¡*_]*"
+_QUOTES_SHUT = r"\x02\x03\x06\""
+_OPEN = r"[\"\x01\x03\x05‘'(\[{（¿¡*_]*"
 #: Not the start of a sentence: a lower-case word (but for names like iOS), or a mark that belongs to what is before.
 _NO_START = rf"(?!{_BLANK}*{_OPEN}(?:\p{{Ll}}(?!\p{{Lu}})|[,;:)\]}}،、，；：]))"
 _SAID = rf"(?!{_BLANK}+(?:\p{{Lu}}[\p{{L}}.{KEPT}]*{_BLANK}+){{1,3}}(?:{'|'.join(REPORTS)})(?!\p{{L}}))"
@@ -61,10 +65,11 @@ def _kept(c: Column) -> Column:
     """Full stops that end no sentence become ``KEPT``."""
     c = F.regexp_replace(c, rf"\.(?<={_WORD}{_any(ABBREVIATIONS)}\.)", KEPT)
     c = F.regexp_replace(c, rf"\.(?<={_WORD}{_any(NUMBERED)}\.)(?={_BLANK}*[\p{{N}}#])", KEPT)
-    for parts in map(str.split, SPACED):
-        pattern = _WORD + rf"\.({_BLANK}*)".join(f"({p})" for p in parts) + r"\."
-        put = "".join(f"${2 * i + 1}{KEPT}" + (f"${2 * i + 2}" if i + 1 < len(parts) else "") for i in range(len(parts)))
-        c = F.regexp_replace(c, pattern, put)
+    spaced = [x.split() for x in SPACED]
+    first = "|".join(rf"{x[0]}\.(?={_BLANK}{{0,3}}{x[1]}\.)" for x in spaced)
+    c = F.regexp_replace(c, rf"\.(?<={_WORD}(?:{first}))", KEPT)
+    later = "|".join(rf"{x[i]}{KEPT}{_BLANK}{{0,3}}{x[i + 1]}" for x in spaced for i in range(len(x) - 1))
+    c = F.regexp_replace(c, rf"\.(?<=(?:{later})\.)", KEPT)
     c = F.regexp_replace(c, rf"\.(?<={_WORD}\p{{Lu}}\.)(?={_BLANK}+\p{{Lu}})", KEPT)  # initials
     c = F.regexp_replace(c, rf"\.(?<={_WORD}\p{{N}}{{1,2}}\.)(?={_BLANK}+{_any(MONTHS)})", KEPT)
     c = F.regexp_replace(c, rf"\.(?<={_WORD}{_any(ORDINAL_BEFORE)}{_BLANK}{{1,3}}\p{{N}}{{1,3}}\.)(?={_BLANK})", KEPT)
@@ -74,10 +79,12 @@ def _kept(c: Column) -> Column:
 def _quoted(c: Column) -> Column:
     """Terminators inside a quotation become ``QUOTED``. A quotation is closed within 800 characters and a paragraph."""
     ends = f"[{_STRONG}{_WEAK};]"
-    pairs = [("„", "[“”]", "„“”"), ("“", "”", "“”„"), ("«", "»", "«»"), ("‹", "›", "‹›"), ("「", "」", "「」"), ("『", "』", "『』")]
-    for a, b, none in pairs:
-        c = F.regexp_replace(c, rf"{ends}(?<={a}[^{none}{GAP}]{{0,800}})(?=[^{none}{GAP}]{{0,800}}{b})", QUOTED)
-    return F.regexp_replace(c, rf"{ends}(?<=(?<![\p{{L}}\p{{N}}{_WEAK}{_STRONG},)])\"[^\"{GAP}]{{1,800}})(?=[^\"{GAP}]{{0,800}}\"(?![\p{{L}}\p{{N}}]))", QUOTED)
+    around = rf"[^\x01-\x04]{{0,800}}"
+    c = F.regexp_replace(c, rf"{ends}(?={around}+[\x02\x03])(?<=[\x01\x03]{around})", QUOTED)
+    around = r"[^\x04-\x06]{0,800}"
+    c = F.regexp_replace(c, rf"{ends}(?={around}+\x06)(?<=\x05{around})", QUOTED)
+    opens = rf"\"(?<![\p{{L}}\p{{N}}{_WEAK}{_STRONG},)]\")"
+    return F.regexp_replace(c, rf"{ends}(?=[^\"\x04]{{0,800}}+\"(?![\p{{L}}\p{{N}}]))(?<={opens}[^\"\x04]{{1,800}})", QUOTED)
 
 
 def _ended(c: Column) -> Column:
@@ -87,18 +94,18 @@ def _ended(c: Column) -> Column:
     # terminators of scripts that have their own
     c = F.regexp_replace(c, rf"[{_STRONG}{_WEAK}{_SHUT}](?<=[{_STRONG}][{_STRONG}{_WEAK}]{{0,6}}{shut})(?![{_STRONG}{_WEAK}{_SHUT}])", END)
     # full stop, exclamation and question marks and ellipses before the end, or white space and no lower-case word
-    here = rf"[{_WEAK}{_SHUT}”»」』\"](?<=[{_WEAK}]{shut}[”»」』\"]{{0,2}}{shut})(?![{_WEAK}{_SHUT}”»」』])"
+    here = rf"[{_WEAK}{_SHUT}\x02\x03\x06\"](?<=[{_WEAK}]{shut}[\x02\x03\x06\"]{{0,2}}{shut})(?![{_WEAK}{_SHUT}\x02\x06])"
     c = F.regexp_replace(c, rf"{here}(?:(?={last})|(?={_BLANK}){_NO_START}{_SAID})", END)
     c = F.regexp_replace(c, rf"[.!?](?<=[{_CASELESS}\p{{M}}][.!?]{{1,4}})(?={_BLANK}+[\p{{L}}\p{{N}}])", END)
     # a missing space: a capital after a small letter, digit or closing mark; a letter of a script without case
     single = r"(?<![.…][.…])(?<!…)"
-    c = F.regexp_replace(c, rf"\.{single}(?<=[\p{{Ll}}\p{{N}}\p{{Lo}}\p{{M}})\]`%][.!?]{{1,3}})(?=[\"“„«‘(¿¡]*\p{{Lu}})", END)
+    c = F.regexp_replace(c, rf"\.{single}(?<=[\p{{Ll}}\p{{N}}\p{{Lo}}\p{{M}})\]`%][.!?]{{1,3}})(?=[\"\x01\x03‘(¿¡]*\p{{Lu}})", END)
     c = F.regexp_replace(c, rf"\.{single}(?<=\p{{Lu}}{{2}}\.)(?=\p{{Lu}}\p{{Ll}})", END)
-    c = F.regexp_replace(c, rf"[!?]{single}(?=[\"“„«‘(¿¡]*\p{{Lu}}|[„«「『¿¡])", END)
-    c = F.regexp_replace(c, rf"[{_WEAK}{_SHUT}]{single}(?<=[\p{{L}}\p{{M}}\p{{N}}`)][.!?]{{1,3}}{shut})(?=[「『“]?[{_CASELESS}])", END)
+    c = F.regexp_replace(c, rf"[!?]{single}(?=[\"\x01\x03‘(¿¡]*\p{{Lu}}|[\x01\x05¿¡])", END)
+    c = F.regexp_replace(c, rf"[{_WEAK}{_SHUT}]{single}(?<=[\p{{L}}\p{{M}}\p{{N}}`)][.!?]{{1,3}}{shut})(?=[\x01\x03\x05]?[{_CASELESS}])", END)
     # a quotation that ends its sentence
     quote = rf"[{_QUOTES_SHUT}{_SHUT}](?<={QUOTED}[\p{{Zs}}]?[{_QUOTES_SHUT}]{{1,2}}{shut})(?![{_SHUT}{_STRONG}{_WEAK}]|[{_QUOTES_SHUT}](?![\p{{L}}\p{{N}}]))"
-    c = F.regexp_replace(c, rf"{quote}(?:(?={last})|(?!{_BLANK}*{AFTER_QUOTE}){_NO_START}{_SAID}(?={_BLANK}|[\"“„«‘(¿¡「『]*[\p{{Lu}}{_CASELESS}])|(?={_BLANK}*\p{{Ll}})(?<=[{_CASELESS}]{QUOTED}.{{1,3}})(?!{_BLANK}*{AFTER_QUOTE}))", END)
+    c = F.regexp_replace(c, rf"{quote}(?:(?={last})|(?!{_BLANK}*{AFTER_QUOTE}){_NO_START}{_SAID}(?={_BLANK}|[\"\x01\x03\x05‘(¿¡]*[\p{{Lu}}{_CASELESS}])|(?={_BLANK}*\p{{Ll}})(?<=[{_CASELESS}]{QUOTED}.{{1,3}})(?!{_BLANK}*{AFTER_QUOTE}))", END)
     # the Greek question mark
     c = F.regexp_replace(c, rf"[;\x{{37E}}](?<=\p{{IsGreek}}[^.!?;{END}]{{0,60}};|\x{{37E}})(?={_BLANK}*(?:$|{GAP})|{_BLANK}+{_OPEN}[\p{{Lu}}\p{{N}}]|\p{{Lu}})", END)
     # scripts without sentence ends: a space between two of their words
@@ -107,7 +114,8 @@ def _ended(c: Column) -> Column:
 
 def marked(text: Column) -> Column:
     """A copy of ``text``, character by character, in which each unit's last character is ``END`` or ``GAP``."""
-    c = F.translate(text, KEPT + END + QUOTED + GAP, "xxxx")
+    used = KEPT + END + QUOTED + GAP + OPENS + SHUTS + BOTH + CORNER + CORNER_SHUTS
+    c = F.translate(text, used + "".join(_MARKS), "x" * len(used) + "".join(_MARKS.values()))
     c = F.regexp_replace(c, r"\n(?=[\s\p{Z}]*\n)|\x{2029}|\r(?=[^\S\n\r]*\r)", GAP)
     return _ended(_quoted(_kept(c)))
 
