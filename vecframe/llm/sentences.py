@@ -42,7 +42,7 @@ AFTER_QUOTE = (
     r"|(?:और|तो|फिर|लेकिन|पर|मगर|तथा|व|ऐसा|यह|कहकर|बोला|बोली|पूछा|कहा)(?![\p{L}\p{M}])|(?:ثم|حين|عندما|قبل|بعد|لكن|قال|قالت|سأل|سألت|وقال|وسأل|وغادر)(?![\p{L}\p{M}])|و(?=\p{L}))"
 )
 # Verbs that report a quotation after a name.
-REPORTS = "said asked replied wrote answered added shouted explained noted fragte sagte rief antwortete schrieb".split()
+REPORTS = "asked replied shouted cried exclaimed fragte rief antwortete".split()
 
 _WORD = r"(?<![\p{L}\p{N}\p{M}])"
 _BLANK = r"[\s\p{Z}" + GAP + "]"
@@ -53,8 +53,8 @@ _SHUT = r"\)\]}）】〕》〉’*_"
 _QUOTES_SHUT = r"\x02\x03\x06\""
 _OPEN = r"[\"\x01\x03\x05‘'(\[{（¿¡*_]*"
 #: Not the start of a sentence: a lower-case word (but for names like iOS), or a mark that belongs to what is before.
-_NO_START = rf"(?!{_BLANK}*{_OPEN}(?:\p{{Ll}}(?!\p{{Lu}})|[,;:)\]}}،、，；：]))"
-_SAID = rf"(?!{_BLANK}+(?:\p{{Lu}}[\p{{L}}.{KEPT}]*{_BLANK}+){{1,3}}(?:{'|'.join(REPORTS)})(?!\p{{L}}))"
+_NO_START = rf"(?!{_BLANK}*{_OPEN}(?:\p{{Ll}}(?!\p{{Lu}})(?!\p{{Ll}}{{0,30}}{_BLANK}?[{_CASELESS}])|[,;:)\]}}،、，；：]))"
+_SAID = rf"(?!{_BLANK}+(?:\p{{Lu}}[\p{{L}}.{KEPT}]*{_BLANK}+){{1,3}}(?:{'|'.join(REPORTS)})(?!\p{{L}}|{_BLANK}*:))"
 
 
 def _any(words: list[str]) -> str:
@@ -73,7 +73,7 @@ def _kept(c: Column) -> Column:
     c = F.regexp_replace(c, rf"\.(?<={_WORD}\p{{Lu}}\.)(?={_BLANK}+\p{{Lu}})", KEPT)  # initials
     c = F.regexp_replace(c, rf"\.(?<={_WORD}\p{{N}}{{1,2}}\.)(?={_BLANK}+{_any(MONTHS)})", KEPT)
     c = F.regexp_replace(c, rf"\.(?<={_WORD}{_any(ORDINAL_BEFORE)}{_BLANK}{{1,3}}\p{{N}}{{1,3}}\.)(?={_BLANK})", KEPT)
-    return F.regexp_replace(c, rf"\.(?<=(?:^|[\n\r{GAP}])[ \t]{{0,8}}[\p{{N}}.]{{1,12}}\.)(?={_BLANK}+\S)", KEPT)  # numbers of headings
+    return F.regexp_replace(c, rf"\.(?<=(?:^|{GAP}){_BLANK}{{0,8}}[\p{{N}}.]{{1,12}}\.)(?={_BLANK}+\S)", KEPT)  # numbers of headings
 
 
 def _quoted(c: Column) -> Column:
@@ -95,7 +95,7 @@ def _ended(c: Column) -> Column:
     c = F.regexp_replace(c, rf"[{_STRONG}{_WEAK}{_SHUT}](?<=[{_STRONG}][{_STRONG}{_WEAK}]{{0,6}}{shut})(?![{_STRONG}{_WEAK}{_SHUT}])", END)
     # full stop, exclamation and question marks and ellipses before the end, or white space and no lower-case word
     here = rf"[{_WEAK}{_SHUT}\x02\x03\x06\"](?<=[{_WEAK}]{shut}[\x02\x03\x06\"]{{0,2}}{shut})(?![{_WEAK}{_SHUT}\x02\x06])"
-    c = F.regexp_replace(c, rf"{here}(?:(?={last})|(?={_BLANK}){_NO_START}{_SAID})", END)
+    c = F.regexp_replace(c, rf"{here}(?:(?={last})|(?={_BLANK}){_NO_START})", END)
     c = F.regexp_replace(c, rf"[.!?](?<=[{_CASELESS}\p{{M}}][.!?]{{1,4}})(?={_BLANK}+[\p{{L}}\p{{N}}])", END)
     # a missing space: a capital after a small letter, digit or closing mark; a letter of a script without case
     single = r"(?<![.…][.…])(?<!…)"
@@ -107,7 +107,7 @@ def _ended(c: Column) -> Column:
     quote = rf"[{_QUOTES_SHUT}{_SHUT}](?<={QUOTED}[\p{{Zs}}]?[{_QUOTES_SHUT}]{{1,2}}{shut})(?![{_SHUT}{_STRONG}{_WEAK}]|[{_QUOTES_SHUT}](?![\p{{L}}\p{{N}}]))"
     c = F.regexp_replace(c, rf"{quote}(?:(?={last})|(?!{_BLANK}*{AFTER_QUOTE}){_NO_START}{_SAID}(?={_BLANK}|[\"\x01\x03\x05‘(¿¡]*[\p{{Lu}}{_CASELESS}])|(?={_BLANK}*\p{{Ll}})(?<=[{_CASELESS}]{QUOTED}.{{1,3}})(?!{_BLANK}*{AFTER_QUOTE}))", END)
     # the Greek question mark
-    c = F.regexp_replace(c, rf"[;\x{{37E}}](?<=\p{{IsGreek}}[^.!?;{END}]{{0,60}};|\x{{37E}})(?={_BLANK}*(?:$|{GAP})|{_BLANK}+{_OPEN}[\p{{Lu}}\p{{N}}]|\p{{Lu}})", END)
+    c = F.regexp_replace(c, rf"[;\x{{37E}}](?<=\p{{IsGreek}}[^!?;{END}]{{0,60}};|\x{{37E}})(?={_BLANK}*(?:$|{GAP})|{_BLANK}+{_OPEN}[\p{{Lu}}\p{{N}}]|\p{{Lu}})", END)
     # scripts without sentence ends: a space between two of their words
     return F.regexp_replace(c, rf"[\s\p{{Z}}](?<=[\p{{IsThai}}\p{{IsLao}}][\s\p{{Z}}])(?=[\s\p{{Z}}]*[\p{{IsThai}}\p{{IsLao}}])", GAP)
 
