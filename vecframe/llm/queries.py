@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecframe.llm import conversations, copies, leakage, neighbors, packing, sentences, topn
+from vecframe.llm import conversations, copies, leakage, neighbors, packing, pairs, sentences, topn
 from vecframe.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "p2_neighbors": lambda s, d: neighbors.p2_neighbors(read_table(s, d, "advanced_docs")).selectExpr("id as adv_id", "posexplode(near) as (pos, hit)").selectExpr("adv_id", "pos + 1 as place", "hit.id as neighbor_id", "-hit.far as cosine"),
         "p3_found": lambda s, d: topn.p3_topn(read_table(s, d, "route_matches")).selectExpr("g as route_name", "id as match_id"),
         "p4_found": lambda s, d: conversations.p4_conversations(read_table(s, d, "history_messages")).selectExpr("session as session_id", "turn as turn_no", "id as message_id"),
+        "p5_found": lambda s, d: pairs.p5_defects(read_table(s, d, "cache_hits"), read_table(s, d, "documents")).withColumnRenamed("id", "hit_id"),
         "p6_pack": lambda s, d: packing.p6_pack(read_table(s, d, "documents")).withColumnRenamed("id", "doc_id"),
         "p7_found": lambda s, d: leakage.p7_leaked(read_table(s, d, "documents"), read_table(s, d, "eval_items")).selectExpr("id as doc_id", "item as item_id"),
         "p8_found": lambda s, d: sentences.p8_units(read_table(s, d, "documents")).withColumnRenamed("id", "doc_id"),
