@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column builders: text analysis and ranking, vector distances, geography, and the expression language."""

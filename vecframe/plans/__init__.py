@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Filters, queries and their languages, and the planner that turns them into DataFrames."""
