@@ -50,17 +50,20 @@ _REFUSALS = re.compile(
 )
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|`[^`]*`")
-_NEUTRAL = re.compile(r"```.*?(?:```|$)|`[^`]*`|https?://\S+|\b\S*[A-Za-z][._]\w\S*|\b[a-z]+[A-Z]\w*|\b[A-Z]{2,}\b|\d+", re.S)
+_NEUTRAL = re.compile(r"```.*?(?:```|$)|`[^`]*`|https?://[!-~]+|[A-Za-z0-9_/-]*[A-Za-z][._][A-Za-z0-9][A-Za-z0-9_./-]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z]*|(?<![A-Za-z])[A-Z]{2,}(?![A-Za-z])|\d+", re.S)
+_NO_WORD = re.compile(r"[\W_]+")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _FINAL = re.compile(r"[.!?。！？…؟।][\"'”’»」』）)\]*_`]*$")
 
 
 def bare(text: str) -> str:
-    """The letters, marks and digits of a text in lower case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if unicodedata.category(c)[0] in "LNM")
+    """The letters and digits of a text in lower case."""
+    t = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _NO_WORD.sub("", t.casefold())
 
 
 class Languages:
-    """Naive Bayes over the character n-grams of 1 to 3 of texts whose neutral tokens (code, names, numbers) are taken out."""
+    """Naive Bayes over the single characters and trigrams of texts, without neutral tokens (code, names of files, numbers)."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.names = sorted(texts)
@@ -70,20 +73,38 @@ class Languages:
         table = np.array([[c[g] for c in counts] for g in kept], float).reshape(len(kept), len(self.names)) + 0.1
         self.table = np.log(table / table.sum(axis=0)).astype(np.float32)
 
+        self.known: dict[str, np.ndarray | None] = {}
+
     @staticmethod
-    def grams(text: str) -> Iterator[str]:
-        t = " " + re.sub(r"\W+", " ", _NEUTRAL.sub(" ", text).lower()) + " "
-        for n in (1, 2, 3):
-            yield from (t[i : i + n] for i in range(len(t) - n + 1))
+    def words(text: str) -> list[str]:
+        return _NO_WORD.sub(" ", _NEUTRAL.sub(" ", text).lower()).split()
+
+    @classmethod
+    def grams(cls, text: str) -> Iterator[str]:
+        for w in cls.words(text):
+            yield from w
+            w = f" {w} "
+            yield from map("".join, zip(w, w[1:], w[2:]))
+
+    def score(self, word: str) -> np.ndarray | None:
+        """The summed log likelihoods of a word's n-grams; words recur, so they are kept."""
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            rows = [i for i in map(self.rows.get, self.grams(word)) if i is not None]
+            self.known[word] = self.table[rows].sum(axis=0) if rows else None
+        return self.known[word]
 
     def posterior(self, text: str) -> tuple[str, float] | None:
         """The likeliest language and the log odds to the next one; None if too few letters are left to tell."""
-        if not self.names or sum(c.isalpha() * (3 if ord(c) > 0x2E80 else 1) for c in _NEUTRAL.sub("", text)) < 12:
+        words = self.words(text)
+        own = "".join(words)
+        if not self.names or len(own) + 2 * len(_DENSE.findall(own)) < 12:
             return None
-        rows = [self.rows[g] for g in self.grams(text) if g in self.rows]
-        if not rows:
+        scores = [x for x in map(self.score, words) if x is not None]
+        if not scores:
             return None
-        score = self.table[rows].sum(axis=0)
+        score = sum(scores)
         order = np.argsort(-score)
         return self.names[order[0]], float(score[order[0]] - score[order[1]]) if len(order) > 1 else math.inf
 
@@ -120,12 +141,12 @@ def is_truncated(response: str, end_share: float | None) -> bool:
         return True
     if text[-1:] in ",;:、，；：(-–—":
         return True
+    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)]) [^\n]*$", text):
+        return False
     if end_share is not None and end_share < END_SHARE:
         return True
     if _FINAL.search(text):
         return False
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)]) [^\n]*$", text):
-        return False
     body = bare(text)
     dense = any(ord(c) > 0x2E80 for c in body)
     return len(body) > (12 if dense else 30) and (bool(re.search(r"[.!?。！？:：] ?\S", text)) or len(text.split()) > 6 or dense)
