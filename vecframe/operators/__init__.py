@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators beyond built-in ones: batch nearest neighbours, upserts, exact lookups."""

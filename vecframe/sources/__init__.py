@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""The keyed document store, the index catalog and the search index over both."""
