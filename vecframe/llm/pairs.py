@@ -63,7 +63,7 @@ def bare(text: str) -> str:
 
 
 class Languages:
-    """Naive Bayes over the single characters and trigrams of texts, without neutral tokens (code, names of files, numbers)."""
+    """Naive Bayes over the character n-grams of 1 to 3 of the words of texts, without neutral tokens (code, names of files, numbers)."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.names = sorted(texts)
@@ -84,6 +84,7 @@ class Languages:
         for w in cls.words(text):
             yield from w
             w = f" {w} "
+            yield from map("".join, zip(w, w[1:]))
             yield from map("".join, zip(w, w[1:], w[2:]))
 
     def score(self, word: str) -> np.ndarray | None:
@@ -157,7 +158,7 @@ def foreign(prompt: str, response: str, languages: Languages) -> bool:
     asked = prompt.lower()
     own = response.replace(prompt, " ").replace(prompt.rstrip("?!.。？！ "), " ")
     p, r = languages.posterior(prompt), languages.posterior(own)
-    if p is None or r is None or p[0] == r[0] or p[1] < 3 or r[1] < 6:
+    if p is None or r is None or p[0] == r[0] or p[1] < 6 or r[1] < 6:
         return False
     return not any(re.search(rf"(?<![^\W_]){re.escape(n)}" if n.isascii() else re.escape(n), asked) for n in LANGUAGE_NAMES.get(r[0], r[0]).split())
 
