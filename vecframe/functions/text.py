@@ -65,6 +65,10 @@ def corpus_statistics(df: DataFrame, fields: list[str], terms: list[str]) -> tup
     return row["n"], {f: row[f"l{i}"] or 0.0 for i, f in enumerate(fields)}, {(f, t): row[f"d{i}_{j}"] for i, f in enumerate(fields) for j, t in enumerate(terms)}
 
 
+def _is(term: str):
+    return lambda w: w == F.lit(term)
+
+
 def bm25(df: DataFrame, weights: dict[str, float], terms: list[str], k1: float = K1, b: float = B, clamp: bool = False) -> Column:
     """The BM25 score of ``terms`` over the weighted text fields; the statistics are those of ``df``, before any filter."""
     terms = list(dict.fromkeys(t.lower() for t in terms))
@@ -79,7 +83,7 @@ def bm25(df: DataFrame, weights: dict[str, float], terms: list[str], k1: float =
         for t in terms:
             d = df_of[f, t]
             idf = math.log(1 + (n - d + 0.5) / (d + 0.5))
-            tf = F.size(F.filter(words, lambda w, t=t: w == t)).cast("double")
+            tf = F.size(F.filter(words, _is(t))).cast("double")
             tf = F.coalesce(F.least(tf, F.lit(1.0)) if clamp else tf, F.lit(0.0))
             score = score + F.lit(weight * idf) * tf * (k1 + 1) / (tf + k1 * norm)
     return score
