@@ -39,6 +39,15 @@ def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many partitions as the session has cores, if its source has fewer, as a single small file does.
+
+    For the steps of operators that compute long on each row; a large table has more partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def trim_blank(c: Column) -> Column:
     """``c`` without blanks of any kind (tabs, no-break and ideographic spaces included) at either end."""
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
