@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecframe.runtime import spread
+
 KEPT, END, QUOTED, GAP = "\ue000", "\ue001", "\ue002", "\x04"
 #: Quotation marks by what they may do, each as one placeholder: open, close, both, and those of Chinese and Japanese.
 #: These and ``GAP`` are control characters, for Java tests a class of such characters by one look into a table.
@@ -44,6 +46,8 @@ AFTER_QUOTE = (
 # Verbs that report a quotation after a name.
 REPORTS = "asked replied shouted cried exclaimed fragte rief antwortete".split()
 
+#: White space of Unicode.
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _WORD = r"(?<![\p{L}\p{N}\p{M}])"
 _BLANK = r"[\s\p{Z}" + GAP + "]"
 _STRONG = "。！？｡।॥؟۔"
@@ -57,6 +61,11 @@ _NO_START = rf"(?!{_BLANK}*{_OPEN}(?:\p{{Ll}}(?!\p{{Lu}})(?!\p{{Ll}}{{0,30}}{_BL
 _SAID = rf"(?!{_BLANK}+(?:\p{{Lu}}[\p{{L}}.{KEPT}]*{_BLANK}+){{1,3}}(?:{'|'.join(REPORTS)})(?!\p{{L}}|{_BLANK}*:))"
 
 
+def _where(test: Column, df: DataFrame, change) -> DataFrame:
+    """``df`` with ``m`` changed where ``test`` holds. A step of its own, so that no expression is computed twice."""
+    return df.withColumn("m", F.when(test, change(F.col("m"))).otherwise(F.col("m")))
+
+
 def _any(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 
@@ -76,48 +85,59 @@ def _kept(c: Column) -> Column:
     return F.regexp_replace(c, rf"\.(?<=(?:^|{GAP}){_BLANK}{{0,8}}[\p{{N}}.]{{1,12}}\.)(?={_BLANK}+\S)", KEPT)  # numbers of headings
 
 
-def _quoted(c: Column) -> Column:
+def _quoted(df: DataFrame) -> DataFrame:
     """Terminators inside a quotation become ``QUOTED``. A quotation is closed within 800 characters and a paragraph."""
     ends = f"[{_STRONG}{_WEAK};]"
-    around = rf"[^\x01-\x04]{{0,800}}"
-    c = F.regexp_replace(c, rf"{ends}(?={around}+[\x02\x03])(?<=[\x01\x03]{around})", QUOTED)
-    around = r"[^\x04-\x06]{0,800}"
-    c = F.regexp_replace(c, rf"{ends}(?={around}+\x06)(?<=\x05{around})", QUOTED)
+    m = F.col("m")
+    around = r"[^\x01-\x04]{0,800}"
+    df = _where(m.contains(OPENS) | m.contains(BOTH), df, lambda c: F.regexp_replace(c, rf"{ends}(?={around}+[\x02\x03])(?<=[\x01\x03]{around})", QUOTED))
+    corners = r"[^\x04-\x06]{0,800}"
+    df = _where(m.contains(CORNER), df, lambda c: F.regexp_replace(c, rf"{ends}(?={corners}+\x06)(?<=\x05{corners})", QUOTED))
     opens = rf"\"(?<![\p{{L}}\p{{N}}{_WEAK}{_STRONG},)]\")"
-    return F.regexp_replace(c, rf"{ends}(?=[^\"\x04]{{0,800}}+\"(?![\p{{L}}\p{{N}}]))(?<={opens}[^\"\x04]{{1,800}})", QUOTED)
+    return _where(m.contains('"'), df, lambda c: F.regexp_replace(c, rf"{ends}(?=[^\"\x04]{{0,800}}+\"(?![\p{{L}}\p{{N}}]))(?<={opens}[^\"\x04]{{1,800}})", QUOTED))
 
 
-def _ended(c: Column) -> Column:
+def _ended(df: DataFrame) -> DataFrame:
     """The last character of each unit becomes ``END``, or ``GAP`` if it is white space."""
     last = rf"(?:{_BLANK}*$|{_BLANK}*{GAP})"
     shut = rf"[{_SHUT}]{{0,4}}"
+    m, dense = F.col("m"), F.col("dense")
+
+    def put(pattern: str, test: Column | None = None, mark: str = END) -> None:
+        nonlocal df
+        change = lambda c: F.regexp_replace(c, pattern, mark)
+        df = df.withColumn("m", change(m)) if test is None else _where(test, df, change)
+
     # terminators of scripts that have their own
-    c = F.regexp_replace(c, rf"[{_STRONG}{_WEAK}{_SHUT}](?<=[{_STRONG}][{_STRONG}{_WEAK}]{{0,6}}{shut})(?![{_STRONG}{_WEAK}{_SHUT}])", END)
+    put(rf"[{_STRONG}{_WEAK}{_SHUT}](?<=[{_STRONG}][{_STRONG}{_WEAK}]{{0,6}}{shut})(?![{_STRONG}{_WEAK}{_SHUT}])", dense)
     # full stop, exclamation and question marks and ellipses before the end, or white space and no lower-case word
     here = rf"[{_WEAK}{_SHUT}\x02\x03\x06\"](?<=[{_WEAK}]{shut}[\x02\x03\x06\"]{{0,2}}{shut})(?![{_WEAK}{_SHUT}\x02\x06])"
-    c = F.regexp_replace(c, rf"{here}(?:(?={last})|(?={_BLANK}){_NO_START})", END)
-    c = F.regexp_replace(c, rf"[.!?](?<=[{_CASELESS}\p{{M}}][.!?]{{1,4}})(?={_BLANK}+[\p{{L}}\p{{N}}])", END)
+    put(rf"{here}(?:(?={last})|(?={_BLANK}){_NO_START})")
+    put(rf"[.!?](?<=[{_CASELESS}\p{{M}}][.!?]{{1,4}})(?={_BLANK}+[\p{{L}}\p{{N}}])", dense)
     # a missing space: a capital after a small letter, digit or closing mark; a letter of a script without case
     single = r"(?<![.…][.…])(?<!…)"
-    c = F.regexp_replace(c, rf"\.{single}(?<=[\p{{Ll}}\p{{N}}\p{{Lo}}\p{{M}})\]`%][.!?]{{1,3}})(?=[\"\x01\x03‘(¿¡]*\p{{Lu}})", END)
-    c = F.regexp_replace(c, rf"\.{single}(?<=\p{{Lu}}{{2}}\.)(?=\p{{Lu}}\p{{Ll}})", END)
-    c = F.regexp_replace(c, rf"[!?]{single}(?=[\"\x01\x03‘(¿¡]*\p{{Lu}}|[\x01\x05¿¡])", END)
-    c = F.regexp_replace(c, rf"[{_WEAK}{_SHUT}]{single}(?<=[\p{{L}}\p{{M}}\p{{N}}`)][.!?]{{1,3}}{shut})(?=[\x01\x03\x05]?[{_CASELESS}])", END)
+    put(rf"\.{single}(?<=[\p{{Ll}}\p{{N}}\p{{Lo}}\p{{M}})\]`%][.!?]{{1,3}})(?=[\"\x01\x03‘(¿¡]*\p{{Lu}})")
+    put(rf"\.{single}(?<=\p{{Lu}}{{2}}\.)(?=\p{{Lu}}\p{{Ll}})")
+    put(rf"[!?]{single}(?=[\"\x01\x03‘(¿¡]*\p{{Lu}}|[\x01\x05¿¡])")
+    put(rf"[{_WEAK}{_SHUT}]{single}(?<=[\p{{L}}\p{{M}}\p{{N}}`)][.!?]{{1,3}}{shut})(?=[\x01\x03\x05]?[{_CASELESS}])", dense)
     # a quotation that ends its sentence
     quote = rf"[{_QUOTES_SHUT}{_SHUT}](?<={QUOTED}[\p{{Zs}}]?[{_QUOTES_SHUT}]{{1,2}}{shut})(?![{_SHUT}{_STRONG}{_WEAK}]|[{_QUOTES_SHUT}](?![\p{{L}}\p{{N}}]))"
-    c = F.regexp_replace(c, rf"{quote}(?:(?={last})|(?!{_BLANK}*{AFTER_QUOTE}){_NO_START}{_SAID}(?={_BLANK}|[\"\x01\x03\x05‘(¿¡]*[\p{{Lu}}{_CASELESS}])|(?={_BLANK}*\p{{Ll}})(?<=[{_CASELESS}]{QUOTED}.{{1,3}})(?!{_BLANK}*{AFTER_QUOTE}))", END)
+    put(rf"{quote}(?:(?={last})|(?!{_BLANK}*{AFTER_QUOTE}){_NO_START}{_SAID}(?={_BLANK}|[\"\x01\x03\x05‘(¿¡]*[\p{{Lu}}{_CASELESS}])|(?={_BLANK}*\p{{Ll}})(?<=[{_CASELESS}]{QUOTED}.{{1,3}})(?!{_BLANK}*{AFTER_QUOTE}))", m.contains(QUOTED))
     # the Greek question mark
-    c = F.regexp_replace(c, rf"[;\x{{37E}}](?<=\p{{IsGreek}}[^!?;{END}]{{0,60}};|\x{{37E}})(?={_BLANK}*(?:$|{GAP})|{_BLANK}+{_OPEN}[\p{{Lu}}\p{{N}}]|\p{{Lu}})", END)
+    put(rf"[;\x{{37E}}](?<=\p{{IsGreek}}[^!?;{END}]{{0,60}};|\x{{37E}})(?={_BLANK}*(?:$|{GAP})|{_BLANK}+{_OPEN}[\p{{Lu}}\p{{N}}]|\p{{Lu}})", m.contains(";") | m.contains("\u037e"))
     # scripts without sentence ends: a space between two of their words
-    return F.regexp_replace(c, rf"[\s\p{{Z}}](?<=[\p{{IsThai}}\p{{IsLao}}][\s\p{{Z}}])(?=[\s\p{{Z}}]*[\p{{IsThai}}\p{{IsLao}}])", GAP)
+    put(rf"[\s\p{{Z}}](?<=[\p{{IsThai}}\p{{IsLao}}][\s\p{{Z}}])(?=[\s\p{{Z}}]*[\p{{IsThai}}\p{{IsLao}}])", F.col("spaced"), GAP)
+    return df
 
 
-def marked(text: Column) -> Column:
-    """A copy of ``text``, character by character, in which each unit's last character is ``END`` or ``GAP``."""
+def marked(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``m``: a copy of the text, character by character, in which each unit's last character is ``END`` or ``GAP``."""
     used = KEPT + END + QUOTED + GAP + OPENS + SHUTS + BOTH + CORNER + CORNER_SHUTS
+    text = F.col(text_col)
     c = F.translate(text, used + "".join(_MARKS), "x" * len(used) + "".join(_MARKS.values()))
     c = F.regexp_replace(c, r"\n(?=[\s\p{Z}]*\n)|\x{2029}|\r(?=[^\S\n\r]*\r)", GAP)
-    return _ended(_quoted(_kept(c)))
+    df = df.withColumns({"m": _kept(c), "dense": text.rlike(f"[{_CASELESS}{_STRONG}]"), "spaced": text.rlike(r"[\p{IsThai}\p{IsLao}]")})
+    return _ended(_quoted(df))
 
 
 def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,15 +147,15 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     have none; an empty table gives no rows. Ids are unique. A text is one group of short rows of numbers in the only
     shuffle, which sums up the lengths before each unit.
     """
-    pieces = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(marked(F.col(text_col)), f"(?<=[{END}{GAP}])")).alias("pos", "piece"))
-    blank = rf"[\s\x1c-\x1f\x85\p{{Z}}{GAP}]+"
-    head = F.length("piece") - F.length(F.regexp_replace("piece", "^" + blank, ""))
-    body = F.length(F.regexp_replace("piece", f"^{blank}|{blank}$", ""))
-    sizes = pieces.select("id", "pos", F.length("piece").alias("n"), head.alias("head"), body.alias("body"))
+    rows = marked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    pieces = rows.select("id", F.posexplode(F.split("m", f"(?<=[{END}{GAP}])")).alias("pos", "piece"))
+    blank = F.lit(_WHITE + GAP)
+    tail = F.ltrim("piece", blank)
+    sizes = pieces.select("id", "pos", F.length("piece").alias("n"), (F.length("piece") - F.length(tail)).alias("head"), F.length(F.rtrim(tail, blank)).alias("body"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = (before + F.col("head")).cast("int")
     return sizes.select("id", start.alias("start_pos"), "body").where("body > 0").select("id", "start_pos", (F.col("start_pos") + F.col("body")).alias("end_pos"))
 
 
 def p8_units(docs: DataFrame) -> DataFrame:
-    return sentence_units(docs, "doc_id", "text")
+    return sentence_units(spread(docs.select("doc_id", "text")), "doc_id", "text")
