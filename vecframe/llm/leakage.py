@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.runtime import BROADCAST_BYTES, materialize
+from vecframe.runtime import BROADCAST_BYTES, materialize, spread
 
 WORDS_IN_A_ROW = 12
 CHARACTERS_IN_A_ROW = 20
@@ -188,7 +188,7 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_c
     number = {t: i for i, t in enumerate(terms)}
     share = spark.sparkContext.broadcast
     vocabulary, grams = (share({t: i for (dense, t), i in number.items() if dense == kind}) for kind in (False, True))
-    postings = materialize(texts.mapInPandas(_postings(vocabulary, grams), "term int, doc long, at array<int>"))
+    postings = materialize(spread(texts).mapInPandas(_postings(vocabulary, grams), "term int, doc long, at array<int>"))
     counted = dict(postings.groupBy("term").count().collect())  # one row a term of the passages at most
     rows = []
     for p in known:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.runtime import materialize
+from vecframe.runtime import materialize, spread
 
 CAPACITY = 2048
 #: Items packed together by one task. Larger groups waste less of their last containers, which is little at this size.
@@ -91,4 +91,4 @@ def pack(df: DataFrame, id_col: str, size: Column, capacity: int = CAPACITY, gro
 
 
 def p6_pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    return pack(docs, "doc_id", token_count(F.col("text"), vocabulary))
+    return pack(spread(docs.select("doc_id", "text")), "doc_id", token_count(F.col("text"), vocabulary))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize
+from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize, spread
 
 #: Labelled documents of each language that the classifier is fitted on, at most; their choice goes by a hash of the id.
 SAMPLE_DOCS = 300
@@ -224,7 +224,7 @@ def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col
     A null prompt echoes nothing and has no language; a null response is empty; rows with a null id are left out; an id
     that is delivered more than once counts once; an empty table gives no rows.
     """
-    rows = pairs.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response")).where("id is not null")
+    rows = spread(pairs.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response")).where("id is not null"))
     masked = F.regexp_replace(F.regexp_replace("response", r"[\s\p{Z}]+$", ""), r"\p{N}", "9")
     rows = rows.withColumn("masked", F.coalesce(masked, F.lit("")))
     texts = rows.select("masked").where("masked <> ''")
