@@ -87,6 +87,8 @@ def test_text_rank(spark):
     assert p.search(q).collect() == [("1", "Heat Heat"), ("2", "Heat")] and p.total(q) == 2
     assert keys(p.search(Q.TextQuery("@genre:{crime} @year:[1990 +inf]"))) == ["1"]
     assert keys(p.search(Q.TextQuery("arr*|%heet%"))) == ["1", "2", "3"]
+    stopped = Planner(MOVIES.renamed(stopwords=("the",)), p.df)
+    assert keys(stopped.search(Q.TextQuery("the heat"))) == ["1", "2"] and keys(p.search(Q.TextQuery("the heat"))) == []
 
 
 def test_aggregation(movies):

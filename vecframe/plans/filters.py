@@ -141,6 +141,8 @@ class Term(Node):
 
     def column(self, schema, types=None) -> Column:
         t = self.term
+        if t.lower() in map(str.lower, schema.index.stopwords or ()):
+            return F.lit(True)  # an index's own stopwords are not indexed, so they ask for nothing
         if t.endswith("*") or t.startswith("*"):
             return Affix(self.field, t.strip("*"), t.startswith("*"), t.endswith("*")).column(schema, types)
         return _any_of([text.has_phrase(c, t) for c in _text_columns(schema, self.field)])

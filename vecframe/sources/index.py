@@ -8,6 +8,7 @@ import re
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, is_dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,15 @@ class IndexInfo:
     fields: tuple[dict[str, Any], ...]
 
 
-@dataclass(frozen=True)
 class Results:
-    """A page of rows and the number of rows on all pages."""
+    """A page of rows and, counted when asked for, the number of rows on all pages."""
+
+    def __init__(self, rows: DataFrame, count: Callable[[], int]) -> None:
+        self.rows, self._count = rows, count
 
-    rows: DataFrame
-    total: int
+    @cached_property
+    def total(self) -> int:
+        return self._count()
 
     def collect_as(self, cls: type) -> list[Any]:
         return map_rows(self.rows, cls)
@@ -293,11 +297,11 @@ class SearchIndex:
 
     def search(self, query: Q.Query) -> Results:
         plan = self.planner()
-        return Results(plan.search(query), plan.total(query))
+        return Results(plan.search(query), lambda: plan.total(query))
 
     def aggregate(self, query: Q.Aggregation) -> Results:
         plan = self.planner()
-        return Results(plan.aggregate(query), plan.total(query))
+        return Results(plan.aggregate(query), lambda: plan.total(query))
 
     def count(self, query: Q.CountQuery) -> int:
         return self.planner().count(query)
