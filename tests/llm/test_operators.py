@@ -98,7 +98,8 @@ def test_neighbors_recall_over_many_leaves(spark):
     ids = np.arange(3000)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "adv_id long, embedding array<float>")
     truth = brute(ids, x)
-    for options in ({"leaf_rows": 300}, {"leaf_rows": 300, "sample_rows": 64}):  # the second splits its leaves once more
+    # the second splits its leaves once more in the task, the third by a second level of trees
+    for options in ({"leaf_rows": 300}, {"leaf_rows": 300, "sample_rows": 64}, {"leaf_rows": 150, "sample_rows": 32, "group_rows": 400}):
         assert len(found(df, **options) & truth) >= 0.9 * len(truth)
 
 

@@ -9,6 +9,7 @@ Vectors meet in their leaves, where cosines are computed exactly, so a vector is
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from vecframe.runtime import broadcast_if, materialize
 
 #: Equal vectors beyond this number are indexed by their k + 1 smallest ids only; the others take over those answers.
 COPIES = 64
+#: Rows of a leaf that its tree of the second level is fitted on, at most.
+_SUB_SAMPLE = 4096
 
 
 @dataclass
@@ -131,7 +134,7 @@ def _assign(forest, width: int, probes: int, slack: float):
                 row, tree, leaf, home = visits(forest.value, _unit(part), probes, slack)
                 ids = b.column(0).take(pa.array(at[i : i + 2048][row]))
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(part[row]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), ids, pa.array(home), raw.cast(pa.binary())], ["tree", "leaf", "id", "home", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf, pa.int64()), ids, pa.array(home), raw.cast(pa.binary())], ["tree", "leaf", "id", "home", "vec"])
 
     return scan
 
@@ -198,13 +201,57 @@ def _search(width: int, k: int, leaf_rows: int, probes: int, slack: float):
     return search
 
 
-def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, trees: int = 2, probes: int = 4, slack: float = 0.05, leaf_rows: int = 2000, sample_rows: int = 8192, seed: int = 7) -> DataFrame:
+def _subtree(width: int, leaf_rows: int, expected: int):
+    """A leaf's own tree, pickled, from a sample of its rows; the same for the same rows in any order."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["id"].to_numpy(), kind="stable")[:_SUB_SAMPLE]
+        raw = np.frombuffer(b"".join(table["vec"].take(pa.array(order)).to_pylist()), np.float32).reshape(-1, width)
+        rng = np.random.default_rng(int(table["leaf"][0].as_py()) + 1)
+        tree = fit_tree(_unit(raw), max(8, len(raw) * leaf_rows // max(1, expected)), rng)
+        return pa.table({"tree": table["tree"][:1], "leaf": table["leaf"][:1], "blob": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return fit
+
+
+def _descend(width: int, probes: int, slack: float):
+    def descend(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not len(rows):
+            return rows.select(["tree", "leaf", "id", "home", "vec"])
+        raw = np.frombuffer(b"".join(rows["vec"].to_pylist()), np.float32).reshape(-1, width)
+        tree = pickle.loads(trees["blob"][0].as_py()) if len(trees) else Tree(np.zeros((0, width), np.float32), np.zeros(0, np.float32), [], 1)
+        row, _, leaf, first = visits([tree], _unit(raw), probes, slack)
+        out = rows.take(pa.array(row))
+        home = out["home"].to_numpy() & first
+        return pa.table({"tree": out["tree"], "leaf": pa.array(out["leaf"].to_numpy() * (1 << 20) + leaf, pa.int64()), "id": out["id"], "home": pa.array(home), "vec": out["vec"]})
+
+    return descend
+
+
+def _refined(placed: DataFrame, width: int, expected: int, leaf_rows: int, group_rows: int, probes: int, slack: float, seed: int) -> DataFrame:
+    """The rows in leaves of a second level: each leaf's own tree is fitted in one task on a sample of bounded size.
+
+    Rows meet their leaf's tree in groups of about ``group_rows`` rows, so no task holds a whole leaf of the first level.
+    """
+    sizes = materialize(placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("parts")))
+    share = min(1.0, 2 * _SUB_SAMPLE / expected)
+    sample = placed.where("home").where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    trees = materialize(sample.groupBy("tree", "leaf").applyInArrow(_subtree(width, leaf_rows, expected), "tree int, leaf long, blob binary"))
+    number = sizes.count()
+    salted = placed.join(broadcast_if(sizes, number, 32), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    copies = trees.join(broadcast_if(sizes, number, 32), ["tree", "leaf"]).select("tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "blob")
+    keys = ["tree", "leaf", "salt"]
+    return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_descend(width, probes, slack), "tree int, leaf long, id long, home boolean, vec binary")
+
+
+def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, trees: int = 2, probes: int = 4, slack: float = 0.05, leaf_rows: int = 2000, sample_rows: int = 8192, group_rows: int = 50_000, seed: int = 7) -> DataFrame:
     """(id, near): for each usable vector its ``k`` most similar others, near being an array of (far = -cosine, id).
 
     Cosines are computed in double precision and rounded to 6 decimals; equal ones go by the smaller id. Vectors that are
     null, of another width, not finite or all zero take no part; an id that is delivered more than once counts once; an
     empty table, or a single vector, gives no rows. The forest is fitted on ``sample_rows`` rows at most, chosen by the
-    hash of their id, whatever the table's size; all rows are indexed. Of more than :data:`COPIES` equal vectors only the
+    hash of their id, whatever the table's size; all rows are indexed. If its leaves would hold more than ``group_rows``
+    rows, each gets a second level of its own, fitted in the same way by the executors. Of more than :data:`COPIES` equal vectors only the
     ``k + 1`` smallest ids are indexed, which is enough to answer exactly for all of them.
     """
     spark = df.sparkSession
@@ -227,7 +274,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
     x = _unit(x[rng.permutation(len(x))[:sample_rows]]) if len(x) else x
     in_leaf = max(8, int(len(x) * leaf_rows / max(total, 1)))
     forest = spark.sparkContext.broadcast([fit_tree(x, in_leaf, rng) for _ in range(trees)])
-    placed = indexed.mapInArrow(_assign(forest, width, probes, slack), "tree int, leaf int, id long, home boolean, vec binary")
+    placed = indexed.mapInArrow(_assign(forest, width, probes, slack), "tree int, leaf long, id long, home boolean, vec binary")
+    expected = total // max(1, min((t.leaves for t in forest.value), default=1))
+    if expected > group_rows:
+        placed = _refined(placed, width, expected, leaf_rows, group_rows, probes, slack, seed)
     found = placed.groupBy("tree", "leaf").applyInArrow(_search(width, k, leaf_rows, probes, slack), "id long, near array<struct<far:double,id:long>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     if heavy:
