@@ -231,6 +231,8 @@ def test_router_and_histories(spark, tmp_path):
     r.add("billing", "where is my invoice", vectorizer=v)
     r.add("search", "find similar documents", vectorizer=v)
     assert r.route("where is the invoice", vectorizer=v).route_name == "billing" and r.route("zzz qqq", vectorizer=v) is None
+    asked = spark.createDataFrame([(1, v.vectorize("where is the invoice")), (2, v.vectorize("zzz qqq")), (3, None)], "n int, v array<double>")
+    assert [(x["n"], x["routeName"]) for x in r.route_frame(asked, "n", "v").collect()] == [(1, "billing")]
     h = MessageHistory(spark, str(tmp_path), "h")
     h.create()
     for i, (s, role) in enumerate([("a", "user"), ("a", "assistant"), ("b", "user"), ("a", "user")]):

@@ -1,4 +1,4 @@
-"""The k nearest documents of every row of a query set: blocks of queries against one scan of the documents."""
+"""Batch nearest neighbours: few queries against many documents, or many rows against few references."""
 
 from __future__ import annotations
 
@@ -78,3 +78,37 @@ def nearest_join(queries: DataFrame, query_id: str, query_vector: str, docs: Dat
     order = Window.partitionBy("query").orderBy("distance", "key")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return best.select(F.col("query").alias(query_id), F.col("key").alias(key), "distance")
+
+
+def nearest_of_few(rows: DataFrame, row_id: str, row_vector: str, few: DataFrame, key: str, vector: str, metric: Metric, dims: int, k: int = 1, threshold: float | None = None) -> DataFrame:
+    """(row_id, key, distance): the ``k`` nearest of a few references for each of any number of rows, without a shuffle.
+
+    The references are sent to the executors, so their size is checked: more than fit a broadcast are an error, and
+    :func:`nearest_join` is the way for those. Equal distances go by the smaller key.
+    """
+    spark = rows.sparkSession
+    names = dict(few.dtypes)[key], dict(rows.dtypes)[row_id]
+    most = max(1, BROADCAST_BYTES // (dims * 8))
+    known = few.where(F.size(vector) == dims).select(key, vector).orderBy(key).limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} references of {dims} parts don't fit a broadcast; use nearest_join")
+    if not known:
+        return spark.createDataFrame([], f"{row_id} {names[1]}, {key} {names[0]}, distance double")
+    block = spark.sparkContext.broadcast((np.array([r[0] for r in known]), np.array([r[1] for r in known], np.float64)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, references = block.value
+        for b in batches:
+            b = b[[x is not None and len(x) == dims for x in b["vector"]]]
+            for i in range(0, len(b), 4096):
+                part = b.iloc[i : i + 4096]
+                d = _distances(metric, np.stack([np.asarray(x, np.float64) for x in part["vector"]]), references)
+                d = np.where(np.isnan(d), np.inf, d)
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # references are in order of their keys
+                near = np.take_along_axis(d, best, 1)
+                row, col = np.nonzero(np.isfinite(near) & (near <= (np.inf if threshold is None else threshold)))
+                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "key": keys[best[row, col]], "distance": near[row, col]})
+
+    slim = rows.select(F.col(row_id).alias("id"), F.col(row_vector).alias("vector")).where(F.col(row_vector).isNotNull())
+    found = slim.mapInPandas(scan, f"id {names[1]}, key {names[0]}, distance double")
+    return found.select(F.col("id").alias(row_id), F.col("key").alias(key), "distance")

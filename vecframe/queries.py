@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vecframe.caches import EmbeddingsCache
 from vecframe.functions import text, vectors
 from vecframe.operators import upsert
-from vecframe.operators.nearest import nearest_join
+from vecframe.operators.nearest import nearest_join, nearest_of_few
 from vecframe.plans import queries as Q
 from vecframe.plans.filters import Filter
 from vecframe.plans.planner import Planner
@@ -134,8 +134,7 @@ def _router(s: SparkSession, d: str) -> DataFrame:
     e = read_table(s, d, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     routes = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("centroid"))
-    # the routes are few, so they are the documents and also the side whose nearest is sought by every row
-    near = nearest_join(e, "vec_id", "embedding", routes, "label", "centroid", Metric.COSINE, 64, 1, 0.9)
+    near = nearest_of_few(e, "vec_id", "embedding", routes, "label", "centroid", Metric.COSINE, 64, 1, 0.9)
     return _rounded(near, "distance")
 
 

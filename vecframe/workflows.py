@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecframe.caches import _text, sha256
+from vecframe.operators.nearest import nearest_of_few
 from vecframe.plans.filters import Filter
 from vecframe.plans.queries import Page, RangeQuery
 from vecframe.schema import IndexDefinition, Metric, NumericField, SearchSchema, TagField, TextField, VectorField, VectorType
@@ -62,7 +63,9 @@ class SemanticRouter:
     def route_frame(self, inputs: DataFrame, input_id: str, vector: str) -> DataFrame:
         """(input_id, _key, distance, routeName, reference) of every input with a route."""
         plan = self.index.planner()
-        return plan.nearest_join(inputs, input_id, vector, "embedding", 1, self.threshold).join(plan.df.select(KEY, "routeName", "reference"), KEY)
+        f = self.index.schema.resolve("embedding")
+        near = nearest_of_few(inputs, input_id, vector, plan.df, KEY, f.column, f.metric, f.dims, 1, self.threshold)
+        return near.join(F.broadcast(plan.df.select(KEY, "routeName", "reference")), KEY)  # as few as nearest_of_few admits
 
 
 @dataclass(frozen=True)
