@@ -267,8 +267,8 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
         chosen = materialize(ranked.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("kept")))
         marked = rows.select("id", "vec", *hashes).join(broadcast_if(chosen, heavy, 200), ["h1", "h2"], "left")
         indexed = marked.where(F.col("kept").isNull() | F.array_contains("kept", F.col("id"))).select("id", "vec")
-    share = min(1.0, 2 * sample_rows / max(total, 1))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample_rows).toArrow()
+    share = min(1.0, 1.2 * sample_rows / max(total, 1))  # some of these vectors may be unusable
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows + sample_rows // 2).toArrow()
     x, _ = _matrix(picked["vec"], width) if len(picked) else (np.zeros((0, width), np.float32), None)
     rng = np.random.default_rng(seed)
     x = _unit(x[rng.permutation(len(x))[:sample_rows]]) if len(x) else x
