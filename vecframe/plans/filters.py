@@ -113,13 +113,21 @@ class Range(Node):
         return tests[0] if len(tests) == 1 else tests[0] & tests[1]
 
 
-def _text_columns(schema: SearchSchema, field: str | None) -> list[Column]:
+#: Columns of this prefix hold the words of a text field, if they were computed beforehand.
+WORDS = "_words_"
+
+
+def text_fields(schema: SearchSchema, field: str | None) -> list[str]:
     if field is None:
-        return [F.col(f.column) for f in schema.of_kind("text")]
-    names = field.split("|")
+        return [f.column for f in schema.of_kind("text")]
     if schema.index.no_fields:
         raise ValueError("the index keeps no fields: text can't be searched by field")
-    return [F.col(schema.resolve(n, "text").column) for n in names]
+    return [schema.resolve(n, "text").column for n in field.split("|")]
+
+
+def _text_columns(schema: SearchSchema, field: str | None, types: dict[str, T.DataType] | None) -> list[Column]:
+    ready = types or {}
+    return [F.col(WORDS + n) if WORDS + n in ready else text.words(F.col(n)) for n in text_fields(schema, field)]
 
 
 def _any_of(tests: list[Column]) -> Column:
@@ -145,7 +153,7 @@ class Term(Node):
             return F.lit(True)  # an index's own stopwords are not indexed, so they ask for nothing
         if t.endswith("*") or t.startswith("*"):
             return Affix(self.field, t.strip("*"), t.startswith("*"), t.endswith("*")).column(schema, types)
-        return _any_of([text.has_phrase(c, t) for c in _text_columns(schema, self.field)])
+        return _any_of([text.has_phrase(c, t) for c in _text_columns(schema, self.field, types)])
 
 
 @dataclass(frozen=True)
@@ -160,7 +168,7 @@ class Phrase(Node):
     def column(self, schema, types=None) -> Column:
         if schema.index.no_offsets:
             raise ValueError("the index keeps no offsets: phrases can't be searched")
-        return _any_of([text.has_phrase(c, self.phrase) for c in _text_columns(schema, self.field)])
+        return _any_of([text.has_phrase(c, self.phrase) for c in _text_columns(schema, self.field, types)])
 
 
 @dataclass(frozen=True)
@@ -177,7 +185,7 @@ class Affix(Node):
 
     def column(self, schema, types=None) -> Column:
         test = text.has_infix if self.open_start and self.open_end else text.has_suffix if self.open_start else text.has_prefix
-        return _any_of([test(c, self.piece) for c in _text_columns(schema, self.field)])
+        return _any_of([test(c, self.piece) for c in _text_columns(schema, self.field, types)])
 
 
 @dataclass(frozen=True)
@@ -190,7 +198,7 @@ class Fuzzy(Node):
         return (f"@{self.field}:" if self.field else "") + "%" * self.distance + _escape(self.term) + "%" * self.distance
 
     def column(self, schema, types=None) -> Column:
-        return _any_of([text.has_fuzzy(c, self.term, self.distance) for c in _text_columns(schema, self.field)])
+        return _any_of([text.has_fuzzy(c, self.term, self.distance) for c in _text_columns(schema, self.field, types)])
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from vecframe.functions import text, vectors
 from vecframe.functions.expressions import expression
 from vecframe.plans import queries as Q
-from vecframe.plans.filters import Node
+from vecframe.plans.filters import WORDS, Affix, Fuzzy, Node, Phrase, Term, text_fields
 from vecframe.plans.querylang import parse, rank_terms
 from vecframe.schema import Algorithm, Metric, SearchSchema, VectorField
 
@@ -34,7 +34,13 @@ class Planner:
 
     def where(self, node: Node | None, df: DataFrame | None = None) -> DataFrame:
         df = self.df if df is None else df
-        return df if node is None else df.where(node.column(self.schema, _types(df)))
+        if node is None:
+            return df
+        asked = [n for leaf in node.leaves() if isinstance(leaf, (Term, Phrase, Affix, Fuzzy)) for n in text_fields(self.schema, leaf.field)]
+        if len(asked) > len(set(asked)):  # several conditions on one text: its words are computed once
+            df = df.withColumns({WORDS + n: text.words(F.col(n)) for n in sorted(set(asked))})
+        rows = df.where(node.column(self.schema, _types(df)))
+        return rows.drop(*[c for c in rows.columns if c.startswith(WORDS)])
 
     def vector_field(self, name: str, vector: Any, runtime: Q.Runtime | None = None, metric: Metric | None = None) -> tuple[VectorField, list[float]]:
         f = self.schema.resolve(name, "vector")
@@ -89,8 +95,8 @@ class Planner:
             stop = self.schema.index.stopwords
             terms = [w for t in rank_terms(node) for w in text.analyze(t, stop)]
             weights = {f.column: f.weight for f in self.schema.of_kind("text")}
-            score = text.bm25(self.df, weights, terms, clamp=self.schema.index.no_frequencies)
-            rows = self.where(node).withColumn("_score", score).orderBy(F.desc("_score"), self.key)
+            rows = text.scored(self.where(node), self.df, weights, terms, clamp=self.schema.index.no_frequencies)
+            rows = rows.orderBy(F.desc("_score"), self.key)
             return self._project(rows.drop("_score"), query.return_fields, whole=True)
         if isinstance(query, Q.MultiVectorQuery):
             return self._multi(query)

@@ -86,8 +86,8 @@ def _bm25(query: str, n: int) -> Query:
         plan = _docs(s, d)
         node = parse(query)
         terms = [w for t in rank_terms(node) for w in text.analyze(t)]
-        score = F.round(text.bm25(plan.df, {"text": 1.0}, terms), 6)
-        return plan.where(node).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
+        rows = text.scored(plan.where(node), plan.df, {"text": 1.0}, terms, "score")
+        return rows.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
 
     return run
 
