@@ -51,6 +51,7 @@ _REFUSALS = re.compile(
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|`[^`]*`")
 _NEUTRAL = re.compile(r"```.*?(?:```|$)|`[^`]*`|https?://[!-~]+|[A-Za-z0-9_/-]*[A-Za-z][._][A-Za-z0-9][A-Za-z0-9_./-]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z]*|(?<![A-Za-z])[A-Z]{2,}(?![A-Za-z])|\d+", re.S)
+_QUOTE_MARKS, _BRACKETS = frozenset("\"“„«「`"), frozenset("([{（「『«")
 _NO_WORD = re.compile(r"[\W_]+")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _FINAL = re.compile(r"[.!?。！？…؟।][\"'”’»」』）)\]*_`]*$")
@@ -126,8 +127,10 @@ def is_echo(prompt: str, response: str) -> bool:
 
 
 def is_refusal(response: str) -> bool:
-    text = _QUOTE.sub(" ", response.replace("’", "'")).lower()
-    return len(text) <= 240 and bool(_REFUSALS.search(text))
+    text = response.replace("’", "'")
+    if not _QUOTE_MARKS.isdisjoint(text):
+        text = _QUOTE.sub(" ", text)
+    return len(text) <= 240 and bool(_REFUSALS.search(text.lower()))
 
 
 def is_truncated(response: str, end_share: float | None) -> bool:
@@ -137,9 +140,10 @@ def is_truncated(response: str, end_share: float | None) -> bool:
         return True
     if text.endswith("```"):
         return False
-    plain = re.sub(r"[:;][-']?[)(]", "", _QUOTE.sub("", text))
-    if any(plain.count(a) > plain.count(b) for a, b in ("()", "[]", "{}", "（）", "「」", "『』", "«»")):
-        return True
+    if not _BRACKETS.isdisjoint(text):
+        plain = re.sub(r"[:;][-']?[)(]", "", _QUOTE.sub("", text))
+        if any(plain.count(a) > plain.count(b) for a, b in ("()", "[]", "{}", "（）", "「」", "『』", "«»")):
+            return True
     if text[-1:] in ",;:、，；：(-–—":
         return True
     if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)]) [^\n]*$", text):
