@@ -18,16 +18,21 @@ _NOT_KEPT = r"[^\p{L}\p{N}\p{M}]|[\x{FE00}-\x{FE0F}\x{20E3}]"
 _FIELD = re.compile(r"""\s*["'“‘]?\s*([^\W\d_][\w .\-]{0,63}?)\s*["'”’]?\s*(?:[:=]|->|=>)\s*(.*?)\s*$""", re.S)
 #: Variation selectors and the keycap mark: marks of the category M that are no part of a word.
 _JOINERS = {*map(chr, range(0xFE00, 0xFE10)), "\u20e3"}
+_NOT_ASCII_WORD = re.compile("[^A-Za-z0-9]+")
 _DECORATION = re.compile(r"^[\s>*•\-]+|[\s.]+$")
 
 
 def _bare(text: str) -> str:
+    if text.isascii():
+        return _NOT_ASCII_WORD.sub("", text).lower()
     kept = (c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c)[0] in "LNM" and c not in _JOINERS)
     return "".join(kept).upper().lower()
 
 
 def _pieces(text: str, mark: str) -> list[str]:
     """``text`` split at ``mark`` outside double or, where they open a value, single quotes."""
+    if '"' not in text and "'" not in text:
+        return text.split(mark)
     out, start, quote, value = [], 0, "", False
     for i, c in enumerate(text):
         if quote:
@@ -54,6 +59,8 @@ def _named(text: str) -> list[tuple[str, str]] | None:
             pass
         t = t[1:-1]
     for mark in ";|\n,&\t":
+        if mark not in t:
+            continue
         parts = [x for x in _pieces(t, mark) if x.strip(" \t\r\n.　 ")]
         if len(parts) > 1:
             found = [_FIELD.match(_DECORATION.sub("", x)) for x in parts]
