@@ -111,9 +111,16 @@ def test_aggregate_hybrid(spark):
     assert [(r["genre"], r["n"]) for r in rows] == [("crime", 2), ("science-fiction", 1)] and rows[0]["mean"] < rows[1]["mean"] and p.total(q) == 2
 
 
-def test_plans(spark, movies):
+def test_plans(spark, movies, tmp_path):
     plan = lambda df: df._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan(movies.search(Q.VectorQuery("embedding", [1, 0], 2)))
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("cast(id as string) as _key", "cast(id as int) as year", "'x' as genre", "'y' as title").write.parquet(path)
+    p = Planner(MOVIES, spark.read.parquet(path))
+    text = plan(p.where(Filter.numeric("year").gte(10)).select("_key"))
+    assert "GreaterThanOrEqual(year,10)" in text and "ReadSchema: struct<_key:string,year:int>" in text
+    by = Q.GroupBy(("genre",), (Q.Reducer.count("n"),))
+    assert "ReadSchema: struct<genre:string>" in plan(p.aggregated(Q.AggregationQuery("*", Q.Pipeline((), (), by))))
 
 
 def test_expressions(spark):
