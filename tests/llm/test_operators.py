@@ -184,7 +184,7 @@ def test_defects():
     assert d(q + " Answer in German.", "Öffne die Datei, ergänze den Eintrag und starte den Dienst neu.") is None
     for r in ("Open the file, add the entry and restart the ser", "Open the file,", 'Open it.\n```json\n{"a": [1,', "Open the file. There are three steps: first, you"):
         assert d(q, r) == "truncated"
-    for r in ("Yes.", "25", "- a\n- b", "```\nFT.SEARCH x\n```", "Open the file and add the entry.", 'The error "unable to comply" means that the file is missing.', f"> {q}\n\nOpen the file and add the entry."):
+    for r in ("Yes.", "25", "- a\n- b", "```\nSHOW x\n```", "Open the file and add the entry.", 'The error "unable to comply" means that the file is missing.', f"> {q}\n\nOpen the file and add the entry."):
         assert d(q, r) is None
     assert d(q, "Open the file and add the entry.", 0.01) == "truncated" and d(None, "Open the file.") is None
 
