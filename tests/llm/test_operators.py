@@ -285,6 +285,13 @@ def test_sentences(spark):
     assert all([x.replace("\n", " ") for x in wrapped[i]] == c for i, c in enumerate(CASES))
 
 
+def test_sentences_of_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (None, "Three. Four."), (None, "Five.")], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["id"]), r["start_pos"], r["end_pos"]) for r in sentences.p8_units(df).collect())
+    assert got == [("1", 0, 4), ("1", 0, 4), ("1", 5, 9), ("1", 5, 9), ("None", 0, 5), ("None", 0, 6), ("None", 7, 12)]
+    assert sentences.p8_units(df.limit(0)).count() == 0
+
+
 def test_sentence_blocks(spark):
     texts = ["2.1 A heading\n \nText one.Text two !  ", "10. Drop the index\n\nDone.", "ระบบทำงาน ทีมงานพบ 5 รายการ แล้วจบ ใหม่อีกครั้ง", "no end", "  \n\n ", "", None, "ab. C\x04d.", "word " * 40_000 + "end. Next."]
     got = units(spark, texts)

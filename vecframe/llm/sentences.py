@@ -144,15 +144,15 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start_pos, end_pos): the sentence units of each text, in code points from 0, the end exclusive.
 
     Units have no white space at either end and together hold all text that is not blank. Null, empty and blank texts
-    have none; an empty table gives no rows. Ids are unique. A text is one group of short rows of numbers in the only
-    shuffle, which sums up the lengths before each unit.
+    have none; an empty table gives no rows. A row is a text of its own, even if its id is null or occurs again. A text is
+    one group of short rows of numbers in the only shuffle, which sums up the lengths before each unit.
     """
-    rows = marked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    pieces = rows.select("id", F.posexplode(F.split("m", f"(?<=[{END}{GAP}])")).alias("pos", "piece"))
+    rows = marked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "text")
+    pieces = rows.select("id", "row", F.posexplode(F.split("m", f"(?<=[{END}{GAP}])")).alias("pos", "piece"))
     blank = F.lit(_WHITE + GAP)
     tail = F.ltrim("piece", blank)
-    sizes = pieces.select("id", "pos", F.length("piece").alias("n"), (F.length("piece") - F.length(tail)).alias("head"), F.length(F.rtrim(tail, blank)).alias("body"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = pieces.select("id", "row", "pos", F.length("piece").alias("n"), (F.length("piece") - F.length(tail)).alias("head"), F.length(F.rtrim(tail, blank)).alias("body"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("id", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = (before + F.col("head")).cast("int")
     return sizes.select("id", start.alias("start_pos"), "body").where("body > 0").select("id", "start_pos", (F.col("start_pos") + F.col("body")).alias("end_pos"))
 
