@@ -189,6 +189,20 @@ def test_defects():
     assert d(q, "Open the file and add the entry.", 0.01) == "truncated" and d(None, "Open the file.") is None
 
 
+def test_refusals_of_any_length():
+    reason = "The topic touches on the private matters of people who have not agreed to it, and what is said about them could do harm that nobody is able to undo later. "
+    for r in (
+        "Thank you for your question about a.yaml. " + reason * 3 + "For this reason I can't help with that request. Please write to help@desk.example or see https://desk.example/a_b instead.",
+        "I'm sorry, but I can't help with that. " + reason * 3,
+        "Diese Anfrage muss ich ablehnen, ich kann dabei leider nicht helfen. " + "Das Thema betrifft Menschen, die dem nicht zugestimmt haben, und was man über sie sagt, könnte ihnen schaden. " * 4,
+        "抱歉，我无法帮助您处理这个请求。" + "这个话题涉及没有表示同意的人的私事，随便谈论可能会伤害他们。" * 12,
+    ):
+        assert len(r) > 240 and pairs.is_refusal(r, "What of a.yaml?")
+    answer = "Open routes.json, add the entry of the tenant and reload the service so that new documents pick it up. Older keys keep their value until they expire. "
+    assert not pairs.is_refusal(answer * 2 + "I cannot provide any more details on the older keys.")
+    assert not pairs.is_refusal(answer * 2 + 'The text "I can\'t help with that" comes from the old service.')
+
+
 def test_defective_pairs_table(spark):
     rows = [(i, "How is it?", "It is well known here.", "x") for i in range(60)] + [(100, "How is it?", "It is well", "x"), (101, None, None, "x"), (101, None, None, "x"), (None, "a", None, "x")]
     df = spark.createDataFrame(rows, "hit_id long, prompt string, response string, share string")

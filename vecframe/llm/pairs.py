@@ -48,6 +48,10 @@ _REFUSALS = re.compile(
     r"|无法(?:帮助|回答|提供|协助|处理)|不能(?:回答|提供|帮助|讨论)|不便(?:讨论|回答|透露|提供)|拒绝回答"
     r"|(?:お答え|お手伝い|お話し|回答|対応|提供)(?:は|することは)?できません|お断り"
 )
+#: What answers: code, and names of files, fields and commands.
+_ANSWERS = re.compile(r"```|[A-Za-z0-9_/-]*[A-Za-z0-9]{2}(?:_|\.(?=[a-z]|[A-Z]{2}))[A-Za-z][A-Za-z0-9_]+")
+_ADDRESS = re.compile(r"https?://[!-~]+|[!-~]+@[!-~]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|`[^`]*`")
 _NEUTRAL = re.compile(r"```.*?(?:```|$)|`[^`]*`|https?://[!-~]+|[A-Za-z0-9_/-]*[A-Za-z][._][A-Za-z0-9][A-Za-z0-9_./-]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z]*|(?<![A-Za-z])[A-Z]{2,}(?![A-Za-z])|\d+", re.S)
@@ -126,11 +130,19 @@ def is_echo(prompt: str, response: str) -> bool:
     return len(r) >= 0.6 * len(p) and any(p.endswith(x) for x in {r, *(r[len(i) :] for i in INTRODUCTIONS if r.startswith(i))} if len(x) >= 0.6 * len(p))
 
 
-def is_refusal(response: str) -> bool:
+def is_refusal(response: str, prompt: str = "") -> bool:
+    """Whether it declines, at any length, before it has answered by code or a name that the prompt doesn't hold."""
     text = response.replace("’", "'")
     if not _QUOTE_MARKS.isdisjoint(text):
         text = _QUOTE.sub(" ", text)
-    return len(text) <= 240 and bool(_REFUSALS.search(text.lower()))
+    if not _REFUSALS.search(text.lower()):
+        return False
+    for i, s in enumerate(_SENTENCE.split(text)):
+        if _REFUSALS.search(s.lower()) if i == 0 else _REFUSALS.search(" " + s.lower(), 1):
+            return True
+        if any(x not in prompt for x in _ANSWERS.findall(_ADDRESS.sub(" ", s))):
+            return False
+    return True
 
 
 def is_truncated(response: str, end_share: float | None) -> bool:
@@ -173,7 +185,7 @@ def defect(prompt: str | None, response: str | None, end_share: float | None, la
     prompt = prompt or ""
     if is_echo(prompt, response):
         return "echo"
-    if is_refusal(response):
+    if is_refusal(response, prompt):
         return "refusal"
     if foreign(prompt, response, languages):
         return "language"
