@@ -203,6 +203,19 @@ def test_refusals_of_any_length():
     assert not pairs.is_refusal(answer * 2 + 'The text "I can\'t help with that" comes from the old service.')
 
 
+def test_truncated_lists(spark):
+    for t, share in (("1. Open the file\n2. Then set the", None), ("1. Open the file\n2. Then set the va", 0.01), ("- Open the file.\n- Add the entry.\n- Then se", None), ("1. Open the file\n2.", None)):
+        assert pairs.is_truncated(t, share)
+    for t, share in (("- title\n- rating", None), ("1. Open the file\n2. Add the entry", None), ("1. Open the file\n2. Add the entry", 0.5), ("- Open it.\n- Close it.", None)):
+        assert not pairs.is_truncated(t, share)
+    said = ["Open the file and add the entry.", "Then set the value and add the entry.", "Title and rating are fields of the file.", "- title\n- rating\n- genre", "- rating\n- genre\n- title"] * 30
+    lists = {1000: "1. Open the file\n2. Then set the", 1001: "1. Open the file\n2. Then set the val", 1002: "1. Open the file\n2. Add the entry", 1003: "- genre\n- rat", 1004: "- title\n- genre"}
+    rows = [*((i, "How?", t) for i, t in enumerate(said)), *((i, "How?", t) for i, t in lists.items())]
+    df = spark.createDataFrame(rows, "id long, prompt string, response string")
+    got = {tuple(r) for r in pairs.defective_pairs(df, "id", "prompt", "response", pairs.Languages(TRAINED)).collect()}
+    assert got == {(1000, "truncated"), (1001, "truncated"), (1003, "truncated")}
+
+
 def test_defective_pairs_table(spark):
     rows = [(i, "How is it?", "It is well known here.", "x") for i in range(60)] + [(100, "How is it?", "It is well", "x"), (101, None, None, "x"), (101, None, None, "x"), (None, "a", None, "x")]
     df = spark.createDataFrame(rows, "hit_id long, prompt string, response string, share string")

@@ -2,7 +2,9 @@
 
 Languages come from a naive Bayes classifier over character n-grams, fitted on a bounded sample of labelled documents.
 Truncation comes from the likelihood that a text ends after its last characters: how often these occur at an end, of how
-often they occur at all, counted over the responses of the whole table, beside unclosed brackets and fences.
+often they occur at all, counted over the responses of the whole table, beside unclosed brackets and fences. The last item of a
+list may lack an end mark: for it, a sentence's or an item's end counts like a text's; an item of one word, which is a
+name or value, is compared with the beginnings of all items.
 """
 
 from __future__ import annotations
@@ -59,6 +61,12 @@ _QUOTE_MARKS, _BRACKETS = frozenset("\"“„«「`"), frozenset("([{（「『«
 _NO_WORD = re.compile(r"[\W_]+")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _FINAL = re.compile(r"[.!?。！？…؟।][\"'”’»」』）)\]*_`]*$")
+_MARKER = r"(?:^|\n)[^\S\n]*(?:[-*•]|\d+[.)])"
+_ITEM, _BARE_MARKER = re.compile(_MARKER + r" ([^\n]*)"), re.compile(r"\n[^\S\n]*(?:[-*•]|\d+[.)])$")
+#: Characters behind the end of an item or sentence.
+_AFTER_END = frozenset("\n.!?。！？…؟।")
+# Words that no item ends in.
+LINKS = set("the an of and or with from your my our der die das dem den des ein eine einen einem einer und oder mit le les un une des du de et ou avec el los las del y o con".split())
 
 
 def bare(text: str) -> str:
@@ -158,8 +166,14 @@ def is_truncated(response: str, end_share: float | None) -> bool:
             return True
     if text[-1:] in ",;:、，；：(-–—":
         return True
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)]) [^\n]*$", text):
-        return False
+    items = _ITEM.findall(text)
+    if items and _BARE_MARKER.search(text):
+        return True
+    if items and _ITEM.match("\n" + text[text.rfind("\n") + 1 :]) and not _FINAL.search(text):
+        if end_share is not None:
+            return end_share < END_SHARE
+        *others, last = items
+        return bool(others) and all(map(_FINAL.search, others)) or len(last.split()) > 1 and last.split()[-1].lower() in LINKS
     if end_share is not None and end_share < END_SHARE:
         return True
     if _FINAL.search(text):
@@ -201,26 +215,52 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 
 
 def _ending(masked: Column, n: int) -> Column:
-    return F.when(F.length(masked) < n, F.concat(F.lit("\x02"), masked)).otherwise(F.right(masked, F.lit(n)))
+    """The last ``n`` characters; marked \\x03 if they end an item without an end mark, the whole item, marked \\x04, if it is one word."""
+    plain = F.when(F.length(masked) < n, F.concat(F.lit("\x02"), masked)).otherwise(F.right(masked, F.lit(n)))
+    item = F.regexp_extract(masked, _MARKER + r" ([^\n]*)$", 1)
+    short = ~item.rlike(r"[\s\p{Z}]|" + _DENSE.pattern)
+    marked = F.when(short, F.concat(F.lit("\x04"), item)).otherwise(F.concat(F.lit("\x03"), plain))
+    return F.when((item != "") & ~item.rlike(_FINAL.pattern), marked).otherwise(plain)
 
 
-def _counted(n: int, wanted):
-    """(gram, seen) of all substrings of ``n`` characters and, marked as such, shorter beginnings; if wanted, only of these."""
+def _counted(n: int, wanted, listed):
+    """(gram, seen, ended) of all substrings of ``n`` characters and, marked as such, shorter beginnings; if wanted, only of these.
+
+    Likewise of those marked as endings and beginnings of items, if listed only of these; only for them ``ended`` is counted.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        ended: Counter = Counter()
         only = wanted.value if wanted else None
+        items = listed.value if listed else None
+        table = lambda: pd.DataFrame({"gram": list(seen.keys()), "seen": list(seen.values()), "ended": [ended[g] for g in seen]})
         for b in batches:
             for t, times in b["masked"].value_counts().items():
                 grams = [*(t[i : i + n] for i in range(len(t) - n + 1)), *("\x02" + t[:i] for i in range(1, min(n, len(t) + 1)))]
                 for g in grams:
                     if only is None or g in only:
                         seen[g] += times
+                if items is None or items:
+                    whole = max(0, len(t) - n + 1)
+                    for i, g in enumerate(grams):
+                        if items is None or "\x03" + g in items:
+                            seen["\x03" + g] += times
+                            end = i + n if i < whole else i - whole + 1
+                            if end == len(t) or t[end] in _AFTER_END:
+                                ended["\x03" + g] += times
+                    for x in map(str.rstrip, _ITEM.findall(t)):
+                        for i in range(1, len(x.split(None, 1)[0]) + 1 if x else 0):
+                            if items is None or "\x04" + x[:i] in items:
+                                seen["\x04" + x[:i]] += times
+                                if i == len(x):
+                                    ended["\x04" + x] += times
             if len(seen) > 300_000:
-                yield pd.DataFrame({"gram": list(seen.keys()), "seen": list(seen.values())})
+                yield table()
                 seen.clear()
+                ended.clear()
         if seen:
-            yield pd.DataFrame({"gram": list(seen.keys()), "seen": list(seen.values())})
+            yield table()
 
     return scan
 
@@ -228,10 +268,12 @@ def _counted(n: int, wanted):
 def end_shares(texts: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(gram, seen, share) of the endings of ``n`` characters that some text of ``masked`` has, over all texts; their number."""
     ends = materialize(texts.select(_ending(F.col("masked"), n).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("ends")))
-    number = ends.count()
-    wanted = texts.sparkSession.sparkContext.broadcast({r[0] for r in ends.select("gram").collect()}) if number * 120 <= BROADCAST_BYTES else None
-    seen = texts.mapInPandas(_counted(n, wanted), "gram string, seen long").groupBy("gram").agg(F.sum("seen").alias("seen"))
-    return ends.join(seen, "gram").select("gram", "seen", (F.col("ends") / F.col("seen")).alias("share")), number
+    of_item = F.col("gram").rlike("^[\x03\x04]")
+    number, few = ends.count(), ends.where(of_item).count()
+    sets = [(number - few, ends.where(~of_item)), (few, ends.where(of_item))]
+    wanted, listed = (texts.sparkSession.sparkContext.broadcast({r[0] for r in e.select("gram").collect()}) if k * 120 <= BROADCAST_BYTES else None for k, e in sets)
+    seen = texts.mapInPandas(_counted(n, wanted, listed), "gram string, seen long, ended long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    return ends.join(seen, "gram").select("gram", "seen", (F.when(of_item, F.col("ended")).otherwise(F.col("ends")) / F.col("seen")).alias("share")), number
 
 
 def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col: str, languages: Languages) -> DataFrame:
