@@ -91,6 +91,33 @@ def test_neighbors_of_many_copies(spark):
     assert found(df) == brute(ids, x)
 
 
+def test_neighbors_of_hot_directions(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 1, 16))
+    scaled = a * 2.0 ** rng.integers(-9, 9, size=(500, 1)) * rng.uniform(1, 2, size=(500, 1))
+    close = b / np.linalg.norm(b) + 2e-5 * rng.normal(size=(500, 16))
+    x = np.concatenate([scaled, close, rng.normal(size=(500, 16))]).astype(np.float32)
+    ids = rng.permutation(9000)[:1500]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "adv_id long, embedding array<float>").repartition(5)
+    truth, hot = brute(ids, x), set(map(int, ids[:1000]))
+    for options in ({"leaf_rows": 100}, {"leaf_rows": 100, "sample_rows": 64}):
+        got = found(df, **options)
+        assert {p for p in got if p[0] in hot} == {p for p in truth if p[0] in hot}
+    index = neighbors._unit(x)
+    count, first = neighbors._ties(index)
+    assert (count[:1000] == 500).all() and first[:1000].sum() == 2
+
+
+def test_neighbors_rerank_in_chunks(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(1, 16)), 300, axis=0).astype(np.float32) * rng.uniform(1, 2, size=(300, 1)).astype(np.float32)
+    monkeypatch.setattr(neighbors, "_PAIRS", 50)
+    monkeypatch.setattr(neighbors, "_PRODUCTS", 1000)
+    ids = rng.permutation(300)
+    got = {(int(a), int(b)) for q, to, _ in neighbors._nearest(ids, x, neighbors._unit(x), np.ones(300, bool), 10) for a, b in zip(q, to)}
+    assert got == brute(ids, x)
+
+
 def test_neighbors_recall_over_many_leaves(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(40, 16))

@@ -14,14 +14,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecframe.runtime import broadcast_if, materialize
+from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize
 
 #: Equal vectors beyond this number are indexed by their k + 1 smallest ids only; the others take over those answers.
 COPIES = 64
+#: Unit vectors this close have a cosine that rounds to 1.000000; those closer than ``SAME`` differ by float32's error only.
+TIE, SAME = 1e-3, 3e-7
+#: Ties of a sampled vector within the sample that make it the anchor of a hot group.
+HOT = 4
+#: Pairs that are reranked at once, and queries times vectors that are compared at once.
+_PAIRS, _PRODUCTS = 1 << 14, 1 << 22
 #: Rows of a leaf that its tree of the second level is fitted on, at most.
 _SUB_SAMPLE = 4096
 
@@ -108,10 +115,114 @@ def visits(forest: list[Tree], unit: np.ndarray, probes: int, slack: float) -> t
     return np.array(rows, np.int64), np.array(trees, np.int32), np.array(leaves, np.int32), np.array(homes, bool)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit64(x: np.ndarray) -> np.ndarray:
     wide = x.astype(np.float64)
     wide /= np.abs(wide).max(axis=1, keepdims=True)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    return wide / np.linalg.norm(wide, axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _unit64(x).astype(np.float32)
+
+
+def _ties(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector the number of those about within :data:`TIE` of it, and whether it is the first of them."""
+    count, first = np.zeros(len(unit), np.int64), np.zeros(len(unit), bool)
+    for i in range(0, len(unit), 512):
+        near = unit[i : i + 512] @ unit.T > 1 - 1e-6
+        count[i : i + 512] = near.sum(axis=1)
+        first[i : i + 512] = near.argmax(axis=1) >= np.arange(i, i + len(near))
+    return count, first
+
+
+def _anchors(unit: np.ndarray, most: int) -> np.ndarray:
+    """Vectors of the sample that have :data:`HOT` ties in it at least, none a tie of another; the hottest first."""
+    count, _ = _ties(unit.astype(np.float32))
+    left = np.flatnonzero(count >= HOT)
+    left = left[np.argsort(-count[left], kind="stable")]
+    chosen = []
+    while len(left) and len(chosen) < most:
+        chosen.append(left[0])
+        left = left[np.linalg.norm(unit[left] - unit[left[0]], axis=1) > TIE]
+    return unit[chosen]
+
+
+def _balls(unit: np.ndarray, anchors: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, distance) of the unit vectors within ``radius`` of an anchor."""
+    row, at = np.nonzero(unit.astype(np.float32) @ anchors.T.astype(np.float32) > 1 - radius**2 / 2 - 1e-6)
+    far = np.zeros(len(row))
+    for i in range(0, len(row), _PAIRS):
+        far[i : i + _PAIRS] = np.linalg.norm(unit[row[i : i + _PAIRS]] - anchors[at[i : i + _PAIRS]], axis=1)
+    return row[far <= radius], at[far <= radius], far[far <= radius]
+
+
+def _members(anchors, width: int):
+    """(anchor, same, id) of the vectors within twice :data:`TIE` of an anchor, which holds all ties of those within once."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, at = _matrix(b.column(1), width)
+            for i in range(0, len(x), 2048):
+                row, anchor, far = _balls(_unit64(x[i : i + 2048]), anchors.value, 2 * TIE)
+                ids = b.column(0).take(pa.array(at[i : i + 2048][row]))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(far <= SAME), ids], ["anchor", "same", "id"])
+
+    return scan
+
+
+def _answered(hot, width: int, k: int, answer: bool):
+    """(id, near) of the vectors whose ``k`` neighbours are all ties of them among the smallest ids near an anchor.
+
+    If not ``answer``: (id, vec) of the vectors to be indexed, which are all but those of an anchor's own direction that
+    have an answer and more than ``k`` smaller ids of that direction before them.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, smallest, kept = hot.value
+        for b in batches:
+            x, at = _matrix(b.column(1), width)
+            ids = b.column(0).take(pa.array(at)).to_numpy()
+            out, indexed = {}, np.ones(len(x), bool)
+            for i in range(0, len(x), 2048):
+                unit = _unit64(x[i : i + 2048])
+                row, anchor, far = _balls(unit, anchors, TIE)
+                for a in np.unique(anchor):
+                    others, vectors = smallest[a]
+                    q = row[anchor == a]
+                    tied = (np.round(unit[q] @ vectors.T, 6) == 1) & (ids[i + q][:, None] != others[None, :])
+                    for r, d, t in zip(q, far[anchor == a], tied):
+                        to = others[t][:k]
+                        if len(to) == k:
+                            out[int(ids[i + r])] = to
+                            if d <= SAME and ids[i + r] not in kept[a]:
+                                indexed[i + r] = False
+            if answer:
+                near = [[{"far": -1.0, "id": int(y)} for y in to] for to in out.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(near, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))], ["id", "near"])
+            else:
+                stay = pa.array(at[indexed])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(stay), b.column(1).take(stay)], ["id", "vec"])
+
+    return scan
+
+
+def _hot_groups(rows: DataFrame, anchors: np.ndarray, width: int, k: int):
+    """The anchors; of each the ``4 k`` smallest ids near it with their unit vectors, and the ``k + 1`` of its direction."""
+    sc = rows.sparkSession.sparkContext
+    near = materialize(rows.mapInArrow(_members(sc.broadcast(anchors), width), "anchor int, same boolean, id long"))
+
+    def smallest(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("r", F.dense_rank().over(Window.partitionBy("anchor").orderBy("id"))).where(F.col("r") <= n).select("anchor", "id").distinct()
+
+    first = materialize(smallest(near, 4 * k))
+    vectors = rows.join(F.broadcast(first), "id").dropDuplicates(["anchor", "id"]).select("anchor", "id", "vec").toArrow()
+    x = _unit64(np.asarray(vectors["vec"].combine_chunks().flatten(), np.float32).reshape(-1, width))
+    table = pd.DataFrame({"anchor": vectors["anchor"].to_numpy(), "id": vectors["id"].to_numpy()}).sort_values(["anchor", "id"])
+    by = {a: (g["id"].to_numpy(), x[g.index.to_numpy()]) for a, g in table.groupby("anchor")}
+    kept = {a: set() for a in by}
+    for r in smallest(near.where("same"), k + 1).collect():
+        kept[r["anchor"]].add(r["id"])
+    return sc.broadcast((anchors, by, kept))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +253,9 @@ def _assign(forest, width: int, probes: int, slack: float):
 def _nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query id, neighbour id, cosine rounded to 6) of the k best others of each row among the home rows."""
     at = np.flatnonzero(home)
-    for i in range(0, len(ids), 512):
-        q = np.arange(i, min(i + 512, len(ids)))
+    step = max(1, min(512, _PRODUCTS // max(1, len(at))))
+    for i in range(0, len(ids), step):
+        q = np.arange(i, min(i + step, len(ids)))
         near = unit[q] @ unit[at].T
         near[ids[q][:, None] == ids[at][None, :]] = -9
         if near.shape[1] > k:
@@ -151,11 +263,13 @@ def _nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarra
             row, col = np.nonzero(near >= np.maximum(floor, -8)[:, None])
         else:
             row, col = np.nonzero(near > -8)
-        a, b = raw[q[row]].astype(np.float64), raw[at[col]].astype(np.float64)
-        a /= np.abs(a).max(axis=1, keepdims=True) if len(a) else 1
-        b /= np.abs(b).max(axis=1, keepdims=True) if len(b) else 1
-        dot = np.einsum("ij,ij->i", a, b)
-        cosine = np.round(dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
+        cosine = np.zeros(len(row))
+        for j in range(0, len(row), _PAIRS):
+            a, b = raw[q[row[j : j + _PAIRS]]].astype(np.float64), raw[at[col[j : j + _PAIRS]]].astype(np.float64)
+            a /= np.abs(a).max(axis=1, keepdims=True)
+            b /= np.abs(b).max(axis=1, keepdims=True)
+            dot = np.einsum("ij,ij->i", a, b)
+            cosine[j : j + _PAIRS] = np.round(dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
         to = ids[at[col]]
         order = np.lexsort((to, -cosine, row))
         row, to, cosine = row[order], to[order], cosine[order]
@@ -172,7 +286,7 @@ def _search(width: int, k: int, leaf_rows: int, probes: int, slack: float):
             return
         own = unit[home]
         sample = own[rng.choice(len(own), min(len(own), 4096), replace=False)]
-        tree = fit_tree(sample, max(8, len(sample) * leaf_rows // len(own)), rng)
+        tree = fit_tree(sample[_ties(sample)[1]], max(8, len(sample) * leaf_rows // len(own)), rng)
         if tree.leaves == 1:
             yield from _nearest(ids, raw, unit, home, k)
             return
@@ -208,7 +322,8 @@ def _subtree(width: int, leaf_rows: int, expected: int):
         order = np.argsort(table["id"].to_numpy(), kind="stable")[:_SUB_SAMPLE]
         raw = np.frombuffer(b"".join(table["vec"].take(pa.array(order)).to_pylist()), np.float32).reshape(-1, width)
         rng = np.random.default_rng(int(table["leaf"][0].as_py()) + 1)
-        tree = fit_tree(_unit(raw), max(8, len(raw) * leaf_rows // max(1, expected)), rng)
+        unit = _unit(raw)
+        tree = fit_tree(unit[_ties(unit)[1]], max(8, len(raw) * leaf_rows // max(1, expected)), rng)
         return pa.table({"tree": table["tree"][:1], "leaf": table["leaf"][:1], "blob": pa.array([pickle.dumps(tree)], pa.binary())})
 
     return fit
@@ -251,7 +366,9 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
     null, of another width, not finite or all zero take no part; an id that is delivered more than once counts once; an
     empty table, or a single vector, gives no rows. The forest is fitted on ``sample_rows`` rows at most, chosen by the
     hash of their id, whatever the table's size; all rows are indexed. If its leaves would hold more than ``group_rows``
-    rows, each gets a second level of its own, fitted in the same way by the executors. Of more than :data:`COPIES` equal vectors only the
+    rows, each gets a second level of its own, fitted in the same way by the executors. Vectors that are ties of a sampled
+    vector with many ties (a hot group, of equal direction or nearly so) get the smallest ids of their ties, each compared
+    in double precision; of one direction only those with the ``k + 1`` smallest ids are indexed. Of more than :data:`COPIES` equal vectors only the
     ``k + 1`` smallest ids are indexed, which is enough to answer exactly for all of them.
     """
     spark = df.sparkSession
@@ -271,8 +388,16 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows + sample_rows // 2).toArrow()
     x, _ = _matrix(picked["vec"], width) if len(picked) else (np.zeros((0, width), np.float32), None)
     rng = np.random.default_rng(seed)
-    x = _unit(x[rng.permutation(len(x))[:sample_rows]]) if len(x) else x
+    x = x[rng.permutation(len(x))[:sample_rows]]
     in_leaf = max(8, int(len(x) * leaf_rows / max(total, 1)))
+    wide = _unit64(x) if len(x) else x
+    anchors = _anchors(wide, max(1, BROADCAST_BYTES // (32 * k * width)))
+    if len(anchors):
+        hot = _hot_groups(rows, anchors, width, k)
+        indexed = indexed.mapInArrow(_answered(hot, width, k, False), "id long, vec array<float>")
+        same, _, _ = _balls(wide, anchors, SAME)
+        wide = np.concatenate([np.delete(wide, same, axis=0), anchors])
+    x = wide.astype(np.float32)
     forest = spark.sparkContext.broadcast([fit_tree(x, in_leaf, rng) for _ in range(trees)])
     placed = indexed.mapInArrow(_assign(forest, width, probes, slack), "tree int, leaf long, id long, home boolean, vec binary")
     expected = total // max(1, min((t.leaves for t in forest.value), default=1))
@@ -287,6 +412,9 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
         taken = answers.select("h1", "h2", "kept", whole.alias("near"))
         others = rows.select("id", *hashes).join(broadcast_if(taken, heavy, 400), ["h1", "h2"]).where(~F.array_contains("kept", F.col("id")))
         best = best.unionByName(others.select("id", "near").dropDuplicates(["id"]))
+    if len(anchors):
+        answers = materialize(rows.mapInArrow(_answered(hot, width, k, True), "id long, near array<struct<far:double,id:long>>").dropDuplicates(["id"]))
+        best = best.join(answers, "id", "left_anti").unionByName(answers)
     return best
 
 
