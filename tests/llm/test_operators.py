@@ -339,6 +339,20 @@ def test_sentences(spark):
     assert all([x.replace("\n", " ") for x in wrapped[i]] == c for i, c in enumerate(CASES))
 
 
+def test_sentences_keep_addresses_and_names_whole(spark):
+    cases = [
+        ["Open https://host.example/search?Query=1 first.", "Then see www.Host.example/Guide.Setup!Top or HTTPS://Host.Example/A.B?C=D for more.", "It is at https://host.example/Guide.Setup."],
+        ["Write to Jane.Doe@Mail.Example.Org today.", "He did."],
+        ["Use `planner.Search` or `Q.Text!Now` now.", "System.Text.Json reads it.", "Call planner.Search(x) or index.SearchAsync again.", "Open report.PDF now."],
+        ["The `rating` is worse.", "The `sessionId` is in Berlin.", "The rest follows (see https://a.example/x).", "Then stop."],
+        ["See https://a.example/" + "Part.Next/" * 400 + "End for it.", "Done."],
+    ]
+    texts = [" ".join(c) for c in cases]
+    texts[3] = "".join(cases[3])
+    got = units(spark, texts)
+    assert [got[i] for i in range(len(cases))] == cases
+
+
 def test_sentences_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (None, "Three. Four."), (None, "Five.")], "doc_id long, text string").repartition(3)
     got = sorted((str(r["id"]), r["start_pos"], r["end_pos"]) for r in sentences.p8_units(df).collect())

@@ -2,9 +2,10 @@
 
 Every mask replaces one character by one private-use character, so positions in the masked copy are those of the text,
 and a unit's own text is restored as a substring. Terminators that end nothing (abbreviations, initials, ordinals,
-heading numbers) become ``KEPT``, those inside a quotation ``QUOTED``; the last character of a unit becomes ``END``,
-or ``GAP`` if it is white space, and the copy is split behind these two. Decimals, file names and addresses need no mask,
-since a full stop ends a sentence only before white space, a capital letter or a letter of a script without case.
+heading numbers, those inside addresses, code and dotted names) become ``KEPT``, those inside a quotation ``QUOTED``; the last character of a unit becomes ``END``,
+or ``GAP`` if it is white space, and the copy is split behind these two. Decimals and file names in lower case need no mask,
+since a full stop ends a sentence only before white space, a capital letter or a letter of a script without case. A bare name
+of two parts (``System.Text``) has the form of two sentences without a space (``Berlin.The``) and is taken for these.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ AFTER_QUOTE = (
 )
 # Verbs that report a quotation after a name.
 REPORTS = "asked replied shouted cried exclaimed fragte rief antwortete".split()
+# Endings of file names, in capitals.
+EXTENSIONS = "PDF TXT CSV TSV JSON XML HTML HTM YAML YML MD DOC DOCX XLS XLSX PPT PPTX ZIP GZ EXE DLL BAT INI LOG SQL JPG JPEG PNG GIF SVG MP3 MP4".split()
 
 #: White space of Unicode.
 _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -70,6 +73,27 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Marks inside addresses, code without spaces and names that show by their form what they are become ``KEPT``.
+
+    ``\\G`` goes on from the mark before, so an address of any length is masked.
+    """
+    m = F.col("m")
+    part, goes_on = r"[\p{L}\p{N}_]", r"\G(?!^)"
+    url = rf"((?i:\b(?:https?|ftp|file|wss?)://|\bwww(?=\.))|{goes_on})([#-\-/-;=@-_a-~]*+)(?<![)\]}}])[.!?](?=[A-Za-z0-9%/&=#~+_$-])"
+    df = _where(m.rlike(r"://|(?i:www\.)"), df, lambda c: F.regexp_replace(c, url, "$1$2" + KEPT))
+    mail = lambda c: F.regexp_replace(F.regexp_replace(c, r"\.(?=[A-Za-z0-9._%+-]*+@[A-Za-z0-9])", KEPT), rf"(@|{goes_on})([A-Za-z0-9-]++)\.(?=[A-Za-z0-9])", "$1$2" + KEPT)
+    df = _where(m.contains("@"), df, mail)
+    code = rf"(`(?=[^`\s{GAP}]+`)|{goes_on})([^`\s{GAP}.!?]*+)[.!?](?=[\p{{L}}\p{{N}}_])"
+    df = _where(m.rlike(r"`[^`\s]*[.!?][^`\s]*`"), df, lambda c: F.regexp_replace(c, code, "$1$2" + KEPT))
+
+    def dotted(c: Column) -> Column:
+        c = F.regexp_replace(c, rf"((?<![\p{{L}}\p{{N}}_.])(?=[\p{{L}}_]{part}*+\.\p{{Lu}}{part}*+\.\p{{Lu}})|{goes_on})({part}++)\.(?=\p{{Lu}})", "$1$2" + KEPT)
+        return F.regexp_replace(c, rf"\.(?<={part}\.)(?=\p{{Lu}}{part}*+\(|(?!Ma?c\p{{Lu}})\p{{Lu}}[\p{{Ll}}\p{{N}}]++[\p{{Lu}}_]|{_any(EXTENSIONS)}(?!{part}))", KEPT)
+
+    return _where(m.rlike(r"\.\p{Lu}"), df, dotted)
+
+
 def _kept(c: Column) -> Column:
     """Full stops that end no sentence become ``KEPT``."""
     c = F.regexp_replace(c, rf"\.(?<={_WORD}{_any(ABBREVIATIONS)}\.)", KEPT)
@@ -136,7 +160,8 @@ def marked(df: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col)
     c = F.translate(text, used + "".join(_MARKS), "x" * len(used) + "".join(_MARKS.values()))
     c = F.regexp_replace(c, r"\n(?=[\s\p{Z}]*\n)|\x{2029}|\r(?=[^\S\n\r]*\r)", GAP)
-    df = df.withColumns({"m": _kept(c), "dense": text.rlike(f"[{_CASELESS}{_STRONG}]"), "spaced": text.rlike(r"[\p{IsThai}\p{IsLao}]")})
+    df = _named(df.withColumn("m", c))
+    df = df.withColumns({"m": _kept(F.col("m")), "dense": text.rlike(f"[{_CASELESS}{_STRONG}]"), "spaced": text.rlike(r"[\p{IsThai}\p{IsLao}]")})
     return _ended(_quoted(df))
 
 
