@@ -353,6 +353,14 @@ def test_sentences_keep_addresses_and_names_whole(spark):
     assert [got[i] for i in range(len(cases))] == cases
 
 
+def test_sentences_of_long_quotations(spark):
+    said = "Stop now. Do not go! " * 150
+    cases = [[f"She read “{said}” and left.", "Done."], [f'She read "{said.strip()}" and left.', "Done."], [f"Er las „{said.strip()}“ und ging.", "Ende."], ["彼は「" + "待って。だめ！" * 300 + "」と言った。", "終わり。"], ["“One.” he said.", "Two “three.", "Four.", "Five."]]
+    texts = [("" if i == 3 else " ").join(c) for i, c in enumerate(cases)]
+    got = units(spark, texts)
+    assert [got[i] for i in range(len(cases))] == cases
+
+
 def test_sentences_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (None, "Three. Four."), (None, "Five.")], "doc_id long, text string").repartition(3)
     got = sorted((str(r["id"]), r["start_pos"], r["end_pos"]) for r in sentences.p8_units(df).collect())

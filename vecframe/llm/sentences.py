@@ -110,15 +110,22 @@ def _kept(c: Column) -> Column:
 
 
 def _quoted(df: DataFrame) -> DataFrame:
-    """Terminators inside a quotation become ``QUOTED``. A quotation is closed within 800 characters and a paragraph."""
-    ends = f"[{_STRONG}{_WEAK};]"
+    """Terminators inside a quotation, which is closed within a paragraph, become ``QUOTED``.
+
+    Whether a mark opens one is asked once; ``\\G`` goes on from the terminator before, so a quotation of any length is one.
+    """
+    ends = f"{_STRONG}{_WEAK};"
     m = F.col("m")
-    around = r"[^\x01-\x04]{0,800}"
-    df = _where(m.contains(OPENS) | m.contains(BOTH), df, lambda c: F.regexp_replace(c, rf"{ends}(?={around}+[\x02\x03])(?<=[\x01\x03]{around})", QUOTED))
-    corners = r"[^\x04-\x06]{0,800}"
-    df = _where(m.contains(CORNER), df, lambda c: F.regexp_replace(c, rf"{ends}(?={corners}+\x06)(?<=\x05{corners})", QUOTED))
-    opens = rf"\"(?<![\p{{L}}\p{{N}}{_WEAK}{_STRONG},)]\")"
-    return _where(m.contains('"'), df, lambda c: F.regexp_replace(c, rf"{ends}(?=[^\"\x04]{{0,800}}+\"(?![\p{{L}}\p{{N}}]))(?<={opens}[^\"\x04]{{1,800}})", QUOTED))
+
+    def put(opens: str, marks: str, shuts: str, test: Column) -> None:
+        nonlocal df
+        pattern = rf"({opens}(?=[^{marks}]*+{shuts})|\G(?!^))([^{marks}{ends}]*+)[{ends}]"
+        df = _where(test, df, lambda c: F.regexp_replace(c, pattern, "$1$2" + QUOTED))
+
+    put(r"[\x01\x03]", r"\x01-\x04", r"[\x02\x03]", m.contains(OPENS) | m.contains(BOTH))
+    put(r"\x05", r"\x04-\x06", r"\x06", m.contains(CORNER))
+    put(rf"\"(?<![\p{{L}}\p{{N}}{_WEAK}{_STRONG},)]\")", r"\"\x04", r"\"(?![\p{L}\p{N}])", m.contains('"'))
+    return df
 
 
 def _ended(df: DataFrame) -> DataFrame:
