@@ -303,6 +303,21 @@ def test_leakage(spark):
     assert leakage.p7_leaked(df.limit(0), items).count() == 0 and leakage.p7_leaked(df, items.limit(0)).count() == 0
 
 
+def test_leakage_of_joined_and_broken_words(spark):
+    p = "Because every shepherd in Maskfell misplaced hollow tollgates, the orchard had 838 sundials left and its stubborn vintner traded quilts until spring."
+    items = spark.createDataFrame([(1, "b", "en", p)], "item_id long, benchmark string, lang string, passage string")
+    w = p.split()
+    run = w[4:16]
+    yes = ["".join(w), "Intro: " + "".join(run) + " end.", " ".join(" ".join(x) for x in run), " ".join(x[:2] + "-\n" + x[2:] if len(x) > 3 else x for x in run), " ".join(f"{x[0]}**{x[1:]}**" for x in run)]
+    no = ["".join(run[:11]), "".join(sorted(w)), "x" + " ".join(run), " ".join(run) + "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "doc_id long, text string")
+    assert {tuple(r) for r in leakage.p7_leaked(df, items).collect()} == {(i, 1) for i in range(len(yes))}
+    for length in (5, 12, 13, 40):
+        words = [random.Random(length + i).choice("abcdefg") * (1 + i % 4) for i in range(length)]
+        grams = leakage.Passage(1, words, False).run_grams()
+        assert all(any(g in "".join(words[i : i + 12]) for g in grams) for i in range(length - 11))
+
+
 # sentences
 
 CASES = [

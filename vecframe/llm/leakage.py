@@ -3,7 +3,8 @@
 One pass over the documents stores the positional postings (term, document, positions) of the words, and for Chinese and
 Japanese passages of the four-character grams, that occur in any passage. Document frequencies over the whole corpus
 then choose each passage's rarest terms; their postings, moved by the term's place in the passage, are intersected, and
-every document left is compared with the passage in full. The passages are the small side, and their size is checked.
+every document left is compared with the passage in full. Words may be joined, broken or spaced in a document: of each run
+that suffices one gram of the joined words is posted too, wherever it is found. The passages are the small side, and their size is checked.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ STRETCH = 1.3
 #: Rarest terms that any match is sure to hold.
 ANCHORS = 3
 _GRAM = 4
+#: Characters of the grams of joined words; a run of as many words has as many at least.
+_RUN_GRAM = WORDS_IN_A_ROW
 # Accents that are dropped, characters that show nothing, scripts without spaces between words.
 _DROPPED = re.compile("[̀-ͯ­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -73,6 +76,16 @@ class Passage:
                 chosen.add(place)
         return sorted(chosen)
 
+    def run_grams(self) -> list[str]:
+        """Grams of the joined words, as few as possible, of which each run of the least length holds one."""
+        stream, starts, chosen = "".join(self.words), [0], []
+        for w in self.words:
+            starts.append(starts[-1] + len(w))
+        for i in range(0 if self.dense else len(self.words) - WORDS_IN_A_ROW + 1):
+            if not chosen or chosen[-1] < starts[i]:
+                chosen.append(starts[i + WORDS_IN_A_ROW] - _RUN_GRAM)
+        return [stream[x : x + _RUN_GRAM] for x in chosen]
+
     @property
     def least_anchors(self) -> int:
         n = len(self.terms)
@@ -97,9 +110,9 @@ def passages(items: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     return out
 
 
-def _postings(vocabulary, grams):
+def _postings(vocabulary, grams, joined):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, in_grams = vocabulary.value, grams.value
+        terms, in_grams, in_runs = vocabulary.value, grams.value, joined.value
         for b in batches:
             rows = []
             for doc, text in zip(b["id"].tolist(), b["text"].tolist()):
@@ -112,6 +125,10 @@ def _postings(vocabulary, grams):
                     for at, g in enumerate(_grams("".join(tokens))):
                         if (k := in_grams.get(g)) is not None:
                             found.setdefault(k, []).append(at)
+                if in_runs:
+                    stream = "".join(tokens)
+                    for g in in_runs.keys() & {stream[i : i + _RUN_GRAM] for i in range(len(stream) - _RUN_GRAM + 1)}:
+                        found[in_runs[g]] = [0]
                 rows += [(k, doc, at) for k, at in found.items()]
             yield pd.DataFrame(rows, columns=["term", "doc", "at"])
 
@@ -143,10 +160,13 @@ def holds(passage: Passage, tokens: list[str]) -> bool:
         at += len(w)
         bounds.add(at)
     for i in range(n - WORDS_IN_A_ROW + 1):
-        run = "".join(passage.words[i : i + WORDS_IN_A_ROW])
+        some = passage.words[i : i + WORDS_IN_A_ROW]
+        run = "".join(some)
         at = stream.find(run)
         while at >= 0:
-            if at in bounds and at + len(run) in bounds:
+            # a word at either end is whole, or the text joins it to the next word of the run
+            end = at + len(run)
+            if (at in bounds or at + len(some[0]) not in bounds) and (end in bounds or end - len(some[-1]) not in bounds):
                 return True
             at = stream.find(run, at + 1)
     least = -(-n * 8 // 10)
@@ -188,13 +208,15 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_c
     number = {t: i for i, t in enumerate(terms)}
     share = spark.sparkContext.broadcast
     vocabulary, grams = (share({t: i for (dense, t), i in number.items() if dense == kind}) for kind in (False, True))
-    postings = materialize(spread(texts).mapInPandas(_postings(vocabulary, grams), "term int, doc long, at array<int>"))
+    runs = {g: len(terms) + i for i, g in enumerate(sorted({g for p in known for g in p.run_grams()}))}
+    postings = materialize(spread(texts).mapInPandas(_postings(vocabulary, grams, share(runs)), "term int, doc long, at array<int>"))
     counted = dict(postings.groupBy("term").count().collect())  # one row a term of the passages at most
     rows = []
     for p in known:
         df = Counter({t: counted.get(number[p.dense, t], 0) for t in p.terms})
         n = max(8, len(p.terms) // 2)
         rows += [(number[p.dense, p.terms[i]], p.item, i, p.least_anchors, n) for i in p.anchors(df)]
+        rows += [(runs[g], p.item, 0, 1, 1 << 30) for g in p.run_grams()]  # one suffices, at any place
     anchors = spark.createDataFrame(rows, "term int, item long, place int, least int, width int")
     hits = postings.join(F.broadcast(anchors), "term").select("doc", "item", "place", "least", "width", F.explode("at").alias("at"))
     moved = F.floor((F.col("at") - F.col("place")) / F.col("width"))
