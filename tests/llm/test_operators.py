@@ -3,8 +3,10 @@
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA, same_rows
@@ -119,6 +121,42 @@ def test_neighbors_rerank_in_chunks(monkeypatch):
     assert got == brute(ids, x)
 
 
+def test_neighbors_of_parallel_vectors_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(1, 384)), 5000, axis=0) * rng.uniform(0.5, 2, size=(5000, 1))).astype(np.float32)
+    x = np.concatenate([x, rng.normal(size=(100, 384)).astype(np.float32)])
+    ids = rng.permutation(5100)
+    tracemalloc.start()
+    for leaf_rows in (100, 5000):  # by the clump, and by products in double precision
+        table = pa.table({"leaf": np.zeros(5100, np.int64), "id": ids, "home": np.ones(5100, bool), "vec": pa.array([v.tobytes() for v in x])})
+        out = neighbors._search(384, 10, leaf_rows, 4, 0.05, 5)(table).to_pydict()
+        few = sorted(ids[:5000].tolist())
+        for i, near in zip(out["id"], out["near"]):
+            if i in set(few[:50]) or i == few[-1]:
+                assert [y["id"] for y in near] == [j for j in few[:11] if j != i][:10]
+        assert set(out["id"]) == set(range(5100))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_neighbors_of_short_lists_are_completed(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "adv_id long, embedding array<float>").repartition(3)
+    out = neighbors.nearest_neighbors(df, "adv_id", "embedding", 16, 10, trees=1, probes=1, leaf_rows=2)
+    got, truth = {r["id"]: [y["id"] for y in r["near"]] for r in out.collect()}, brute(np.arange(400), x)
+    assert len(got) == 400 and all(len(v) == 10 for v in got.values())
+    assert {(i, j) for i, v in got.items() for j in v} == truth  # every leaf holds fewer than ten others
+
+
+def test_neighbors_by_pure_random_projections(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(20, 16))[rng.integers(0, 20, 1500)] + 0.35 * rng.normal(size=(1500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "adv_id long, embedding array<float>")
+    truth = brute(np.arange(1500), x)
+    assert len(found(df, leaf_rows=300, refine=0, trees=4, probes=8) & truth) >= 0.9 * len(truth)
+
+
 def test_neighbors_recall_over_many_leaves(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(40, 16))
@@ -157,8 +195,6 @@ def test_top_n_of_many_groups_in_one_partition(spark):
 
 
 def test_top_n_local_best():
-    import pyarrow as pa
-
     rng = random.Random(5)
     rows = sorted((f"g{rng.randrange(30)}", float(rng.randrange(4)), rng.randrange(20)) for _ in range(600))
     for size in (1, 2, 7, 600):

@@ -1,6 +1,7 @@
-"""The k most similar vectors of every vector: a forest of projection trees, a shared priority queue, exact reranking.
+"""The k most similar vectors of every vector: a forest of random-projection trees, a shared priority queue, exact reranking.
 
-Each inner node splits by the hyperplane between two means of a few sampled vectors, the best of several random starts.
+Each inner node projects on the difference of two randomly drawn vectors; by default some steps move these two to the
+means of their sides (``refine``), and the best of several draws is taken.
 The forest is fitted on a bounded sample; every vector is indexed in one leaf of each tree. As a query a vector goes to
 its own leaves and, by a priority queue that all trees share, to the next leaves whose hyperplanes it lies close to.
 Vectors meet in their leaves, where cosines are computed exactly, so a vector is shuffled once for each leaf it visits.
@@ -12,6 +13,7 @@ import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,14 @@ from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize
 COPIES = 64
 #: Unit vectors this close have a cosine that rounds to 1.000000; those closer than ``SAME`` differ by float32's error only.
 TIE, SAME = 1e-3, 3e-7
+#: Any two vectors this close to a third one are ties of each other.
+CLUMP = 4.9e-4
 #: Ties of a sampled vector within the sample that make it the anchor of a hot group.
 HOT = 4
 #: Pairs that are reranked at once, and queries times vectors that are compared at once.
 _PAIRS, _PRODUCTS = 1 << 14, 1 << 22
+#: Candidates of a query, as a multiple of ``k``, beyond which all its products are computed in double precision.
+_MANY = 8
 #: Rows of a leaf that its tree of the second level is fitted on, at most.
 _SUB_SAMPLE = 4096
 
@@ -43,15 +49,19 @@ class Tree:
     leaves: int
 
 
-def fit_tree(sample: np.ndarray, leaf_rows: int, rng: np.random.Generator, starts: int = 6) -> Tree:
-    """A tree over unit vectors whose leaves hold ``leaf_rows`` of the sample at most."""
+def fit_tree(sample: np.ndarray, leaf_rows: int, rng: np.random.Generator, starts: int = 6, refine: int = 5) -> Tree:
+    """A tree over unit vectors whose leaves hold ``leaf_rows`` of the sample at most.
+
+    A split is a projection on the difference of two vectors drawn at random, the best of ``starts`` draws by the margin
+    that it leaves; ``refine`` steps replace the two by the means of their sides, 0 keeps the random projection as drawn.
+    """
     normals, offsets, children, leaves = [], [], [], 0
 
     def split(rows: np.ndarray) -> tuple[np.ndarray, float]:
         best, chosen = -1.0, None
         for _ in range(starts):
             a, b = rows[rng.choice(len(rows), 2, replace=False)]
-            for _ in range(5):
+            for _ in range(refine):
                 side = rows @ (a - b) > 0
                 if side.all() or not side.any():
                     break
@@ -225,6 +235,14 @@ def _hot_groups(rows: DataFrame, anchors: np.ndarray, width: int, k: int):
     return sc.broadcast((anchors, by, kept))
 
 
+def _largest(forest: list[Tree], sample: np.ndarray) -> int:
+    """How many vectors of the sample the fullest leaf holds."""
+    if not len(sample):
+        return 0
+    _, tree, leaf, home = visits(forest, sample, len(forest), 0.0)
+    return int(np.unique(tree[home].astype(np.int64) << 32 | leaf[home], return_counts=True)[1].max())
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The usable vectors of a list column and their row numbers: right width, all parts finite, not all zero."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -237,7 +255,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray,
 
 
 def _assign(forest, width: int, probes: int, slack: float):
+    """(leaf, id, home, vec) of the leaves that each vector visits, the leaves numbered through all trees."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.cumsum([0, *[t.leaves for t in forest.value]], dtype=np.int64)
         for b in batches:
             x, at = _matrix(b.column(1), width)
             for i in range(0, len(x), 2048):
@@ -245,24 +266,59 @@ def _assign(forest, width: int, probes: int, slack: float):
                 row, tree, leaf, home = visits(forest.value, _unit(part), probes, slack)
                 ids = b.column(0).take(pa.array(at[i : i + 2048][row]))
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(part[row]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf, pa.int64()), ids, pa.array(home), raw.cast(pa.binary())], ["tree", "leaf", "id", "home", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(before[tree] + leaf), ids, pa.array(home), raw.cast(pa.binary())], ["leaf", "id", "home", "vec"])
 
     return scan
 
 
-def _nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query id, neighbour id, cosine rounded to 6) of the k best others of each row among the home rows."""
+def _floats(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of a column of float32 bytes, one copy of them and no Python objects."""
+    out = np.empty((len(column), width), np.float32)
+    at = 0
+    for c in column.chunks:
+        if len(c):
+            starts = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
+            out[at : at + len(c)] = np.frombuffer(c.buffers()[2], np.uint8)[starts[0] : starts[-1]].view(np.float32).reshape(-1, width)
+            at += len(c)
+    return out
+
+
+def _nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarray, k: int, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, neighbour id, cosine rounded to 6) of the k best others of each row among the home rows.
+
+    Products in float32 choose the candidates. Of a query with many, ties mostly, all products are computed in double
+    precision; the home rows stand in order of their ids, so a stable sort settles the ties.
+    """
     at = np.flatnonzero(home)
-    step = max(1, min(512, _PRODUCTS // max(1, len(at))))
-    for i in range(0, len(ids), step):
-        q = np.arange(i, min(i + step, len(ids)))
-        near = unit[q] @ unit[at].T
-        near[ids[q][:, None] == ids[at][None, :]] = -9
+    at = at[np.argsort(ids[at], kind="stable")]
+    asked = np.arange(len(ids)) if ask is None else np.flatnonzero(ask)
+    if not len(at) or not len(asked):
+        return
+    own, wide = unit[at], None
+    step = max(1, min(512, _PRODUCTS // len(at)))
+    for i in range(0, len(asked), step):
+        q = asked[i : i + step]
+        near = unit[q] @ own.T
+        same = np.minimum(np.searchsorted(ids[at], ids[q]), len(at) - 1)
+        mine = np.flatnonzero(ids[at[same]] == ids[q])
+        near[mine, same[mine]] = -9
         if near.shape[1] > k:
             floor = np.partition(near, -k, axis=1)[:, -k] - 1e-5  # beyond float32's error and the rounding
-            row, col = np.nonzero(near >= np.maximum(floor, -8)[:, None])
+            chosen = near >= np.maximum(floor, -8)[:, None]
         else:
-            row, col = np.nonzero(near > -8)
+            chosen = near > -8
+        many = np.count_nonzero(chosen, axis=1) > _MANY * k
+        if many.any():
+            wide = _unit64(raw[at]) if wide is None else wide
+            rows = np.flatnonzero(many)
+            for j in range(0, len(rows), 64):
+                r = rows[j : j + 64]
+                cosine = np.round(_unit64(raw[q[r]]) @ wide.T, 6)
+                cosine[near[r] == -9] = -9
+                best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                yield np.repeat(ids[q[r]], best.shape[1]), ids[at[best.ravel()]], np.take_along_axis(cosine, best, 1).ravel()
+            chosen[many] = False
+        row, col = np.nonzero(chosen)
         cosine = np.zeros(len(row))
         for j in range(0, len(row), _PAIRS):
             a, b = raw[q[row[j : j + _PAIRS]]].astype(np.float64), raw[at[col[j : j + _PAIRS]]].astype(np.float64)
@@ -277,54 +333,85 @@ def _nearest(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarra
         yield ids[q[row[rank < k]]], to[rank < k], cosine[rank < k]
 
 
-def _search(width: int, k: int, leaf_rows: int, probes: int, slack: float):
+def _clumps(ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, home: np.ndarray, ask: np.ndarray, sample: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The neighbours of rows in a clump of more than k ties, from few candidates; these rows are asked no more.
+
+    Every row of a clump is a tie of every other, so its neighbours are the smallest ids among its ties: k + 1 of the
+    clump and the rows around it, out to the farthest tie, suffice as candidates.
+    """
+    anchors = _anchors(_unit64(sample), 16)
+    if not len(anchors):
+        return
+    found = [[] for _ in anchors]
+    for i in range(0, len(ids), 4096):
+        row, anchor, far = _balls(_unit64(raw[i : i + 4096]), anchors, 2 * TIE)
+        for a in np.unique(anchor):
+            found[a].append((row[anchor == a] + i, far[anchor == a]))
+    for parts in found:
+        row, far = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        clump, around = row[far <= CLUMP], row[far > CLUMP]
+        inner = clump[home[clump]]
+        asked = clump[ask[clump]]
+        if len(inner) <= k or not len(asked):
+            continue
+        few = np.concatenate([inner[np.argsort(ids[inner], kind="stable")[: k + 1]], around[home[around]]])
+        at = np.concatenate([few, asked])
+        yield from _nearest(ids[at], raw[at], unit[at], np.arange(len(at)) < len(few), k, np.arange(len(at)) >= len(few))
+        ask[asked] = False
+
+
+def _search(width: int, k: int, leaf_rows: int, probes: int, slack: float, refine: int):
     """The search within one leaf; a leaf that the sample left too large is split again by a tree of its own."""
 
-    def inside(ids, raw, unit, home, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def inside(ids, raw, unit, home, ask, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if home.sum() <= 2 * leaf_rows:
-            yield from _nearest(ids, raw, unit, home, k)
+            yield from _nearest(ids, raw, unit, home, k, ask)
             return
         own = unit[home]
         sample = own[rng.choice(len(own), min(len(own), 4096), replace=False)]
-        tree = fit_tree(sample[_ties(sample)[1]], max(8, len(sample) * leaf_rows // len(own)), rng)
+        count, first = _ties(sample)
+        if (count >= HOT).any():
+            yield from _clumps(ids, raw, unit, home, ask, sample, k)
+        tree = fit_tree(sample[first], max(8, len(sample) * leaf_rows // len(own)), rng, refine=refine)
         if tree.leaves == 1:
-            yield from _nearest(ids, raw, unit, home, k)
+            yield from _nearest(ids, raw, unit, home, k, ask)
             return
-        row, _, leaf, first = visits([tree], unit, probes, slack)
+        row, _, leaf, nearest = visits([tree], unit, probes, slack)
         for x in range(tree.leaves):
             at = row[leaf == x]
             if len(at):
-                yield from inside(ids[at], raw[at], unit[at], home[at] & first[leaf == x], rng)
+                yield from inside(ids[at], raw[at], unit[at], home[at] & nearest[leaf == x], ask[at], rng)
 
     def search(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         _, once = np.unique(ids, return_index=True)
-        table = table.take(pa.array(once))
+        if len(once) < len(ids):
+            table = table.take(pa.array(once))
         ids, home = table["id"].to_numpy(), table["home"].to_numpy()
-        raw = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float32).reshape(-1, width)
+        raw = _floats(table["vec"], width)
         rng = np.random.default_rng(int(table["leaf"][0].as_py()) + 1)
-        got = [x for x in inside(ids, raw, _unit(raw), home, rng) if len(x[0])]
+        got = [x for x in inside(ids, raw, _unit(raw), home, np.ones(len(ids), bool), rng) if len(x[0])]
         q, to, cosine = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        alone = np.setdiff1d(ids[home], q)  # they get an empty list, to be completed
         lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([starts, [len(q)]]).astype(np.int32)),
+            pa.array(np.concatenate([starts, np.full(len(alone) + 1, len(q))]).astype(np.int32)),
             pa.StructArray.from_arrays([pa.array(-cosine), pa.array(to)], names=["far", "id"]),
         )
-        return pa.table({"id": pa.array(q[starts], pa.int64()), "near": lists})
+        return pa.table({"id": pa.array(np.concatenate([q[starts], alone]), pa.int64()), "near": lists})
 
     return search
 
 
-def _subtree(width: int, leaf_rows: int, expected: int):
+def _subtree(width: int, leaf_rows: int, expected: int, refine: int):
     """A leaf's own tree, pickled, from a sample of its rows; the same for the same rows in any order."""
 
     def fit(table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy(), kind="stable")[:_SUB_SAMPLE]
-        raw = np.frombuffer(b"".join(table["vec"].take(pa.array(order)).to_pylist()), np.float32).reshape(-1, width)
+        unit = _unit(_floats(table["vec"].take(pa.array(order)), width))
         rng = np.random.default_rng(int(table["leaf"][0].as_py()) + 1)
-        unit = _unit(raw)
-        tree = fit_tree(unit[_ties(unit)[1]], max(8, len(raw) * leaf_rows // max(1, expected)), rng)
-        return pa.table({"tree": table["tree"][:1], "leaf": table["leaf"][:1], "blob": pa.array([pickle.dumps(tree)], pa.binary())})
+        tree = fit_tree(unit[_ties(unit)[1]], max(8, len(unit) * leaf_rows // max(1, expected)), rng, refine=refine)
+        return pa.table({"leaf": table["leaf"][:1], "blob": pa.array([pickle.dumps(tree)], pa.binary())})
 
     return fit
 
@@ -332,41 +419,89 @@ def _subtree(width: int, leaf_rows: int, expected: int):
 def _descend(width: int, probes: int, slack: float):
     def descend(rows: pa.Table, trees: pa.Table) -> pa.Table:
         if not len(rows):
-            return rows.select(["tree", "leaf", "id", "home", "vec"])
-        raw = np.frombuffer(b"".join(rows["vec"].to_pylist()), np.float32).reshape(-1, width)
+            return rows.select(["leaf", "id", "home", "vec"])
         tree = pickle.loads(trees["blob"][0].as_py()) if len(trees) else Tree(np.zeros((0, width), np.float32), np.zeros(0, np.float32), [], 1)
-        row, _, leaf, first = visits([tree], _unit(raw), probes, slack)
+        row, _, leaf, first = visits([tree], _unit(_floats(rows["vec"], width)), probes, slack)
         out = rows.take(pa.array(row))
         home = out["home"].to_numpy() & first
-        return pa.table({"tree": out["tree"], "leaf": pa.array(out["leaf"].to_numpy() * (1 << 20) + leaf, pa.int64()), "id": out["id"], "home": pa.array(home), "vec": out["vec"]})
+        return pa.table({"leaf": pa.array(out["leaf"].to_numpy() * (1 << 20) + leaf, pa.int64()), "id": out["id"], "home": pa.array(home), "vec": out["vec"]})
 
     return descend
 
 
-def _refined(placed: DataFrame, width: int, expected: int, leaf_rows: int, group_rows: int, probes: int, slack: float, seed: int) -> DataFrame:
+def _refined(placed: DataFrame, width: int, expected: int, leaf_rows: int, group_rows: int, probes: int, slack: float, seed: int, refine: int) -> DataFrame:
     """The rows in leaves of a second level: each leaf's own tree is fitted in one task on a sample of bounded size.
 
     Rows meet their leaf's tree in groups of about ``group_rows`` rows, so no task holds a whole leaf of the first level.
     """
-    sizes = materialize(placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("parts")))
+    sizes = materialize(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("parts")))
     share = min(1.0, 2 * _SUB_SAMPLE / expected)
     sample = placed.where("home").where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    trees = materialize(sample.groupBy("tree", "leaf").applyInArrow(_subtree(width, leaf_rows, expected), "tree int, leaf long, blob binary"))
+    trees = materialize(sample.groupBy("leaf").applyInArrow(_subtree(width, leaf_rows, expected, refine), "leaf long, blob binary"))
     number = sizes.count()
-    salted = placed.join(broadcast_if(sizes, number, 32), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    copies = trees.join(broadcast_if(sizes, number, 32), ["tree", "leaf"]).select("tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "blob")
-    keys = ["tree", "leaf", "salt"]
-    return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_descend(width, probes, slack), "tree int, leaf long, id long, home boolean, vec binary")
+    salted = placed.join(broadcast_if(sizes, number, 32), "leaf").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    copies = trees.join(broadcast_if(sizes, number, 32), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "blob")
+    keys = ["leaf", "salt"]
+    return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_descend(width, probes, slack), "leaf long, id long, home boolean, vec binary")
+
+
+def _exact(asked, width: int, k: int):
+    """(id, near) of a block of asked vectors within each partition, by brute force."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, raw = asked.value
+        unit, best = _unit(raw), {}
+        for b in batches:
+            x, at = _matrix(b.column(1), width)
+            others = b.column(0).take(pa.array(at)).to_numpy()
+            for i in range(0, len(x), 4096):
+                both, rows = np.concatenate([ids, others[i : i + 4096]]), np.concatenate([raw, x[i : i + 4096]])
+                home = np.arange(len(both)) >= len(ids)
+                for q, to, cosine in _nearest(both, rows, np.concatenate([unit, _unit(x[i : i + 4096])]), home, k, ~home):
+                    for a, y, c in zip(q.tolist(), to.tolist(), cosine.tolist()):
+                        best.setdefault(a, set()).add((-c, y))
+                for a, found in best.items():
+                    best[a] = set(sorted(found)[:k])
+        near = [[{"far": f, "id": y} for f, y in sorted(v)] for v in best.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(near, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))], ["id", "near"])
+
+    return scan
 
 
-def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, trees: int = 2, probes: int = 4, slack: float = 0.05, leaf_rows: int = 2000, sample_rows: int = 8192, group_rows: int = 50_000, seed: int = 7) -> DataFrame:
+def _completed(best: DataFrame, rows: DataFrame, width: int, k: int) -> DataFrame:
+    """``best`` with lists that the forest left too short replaced: their vectors, in blocks, against all rows."""
+    best = materialize(best)
+    need = min(k, best.count() - 1)
+    if need < 1:
+        return best.limit(0)
+    short = best.where(F.size("near") < need).select("id")
+    if not short.take(1):
+        return best
+    asked = materialize(rows.join(short, "id", "left_semi").dropDuplicates(["id"]))
+    size = max(1, BROADCAST_BYTES // (8 * width))
+    blocks = max(1, -(-asked.count() // size))
+    parts = []
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
+        x, at = _matrix(block["vec"], width)
+        shared = rows.sparkSession.sparkContext.broadcast((block["id"].to_numpy()[at], x))
+        parts.append(rows.mapInArrow(_exact(shared, width, k), "id long, near array<struct<far:double,id:long>>"))
+    return best.join(short, "id", "left_anti").unionByName(_merged(reduce(DataFrame.unionAll, parts), k))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+
+
+def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, trees: int = 2, probes: int = 4, slack: float = 0.05, leaf_rows: int = 2000, sample_rows: int = 8192, group_rows: int = 16_000, seed: int = 7, refine: int = 5, most_sample_rows: int = 65_536) -> DataFrame:
     """(id, near): for each usable vector its ``k`` most similar others, near being an array of (far = -cosine, id).
 
     Cosines are computed in double precision and rounded to 6 decimals; equal ones go by the smaller id. Vectors that are
     null, of another width, not finite or all zero take no part; an id that is delivered more than once counts once; an
-    empty table, or a single vector, gives no rows. The forest is fitted on ``sample_rows`` rows at most, chosen by the
-    hash of their id, whatever the table's size; all rows are indexed. If its leaves would hold more than ``group_rows``
-    rows, each gets a second level of its own, fitted in the same way by the executors. Vectors that are ties of a sampled
+    empty table, or a single vector, gives no rows. The forest is fitted on ``sample_rows`` rows, or, if these are less, on
+    one of 500, but on ``most_sample_rows`` at most, chosen by the hash of their id; all rows are indexed. If by the sample
+    the largest leaf would hold more than ``group_rows`` rows, each gets a second level of its own, fitted in the same way
+    by the executors. A vector for which the leaves hold fewer than ``k`` others is compared with all rows. Vectors that are ties of a sampled
     vector with many ties (a hot group, of equal direction or nearly so) get the smallest ids of their ties, each compared
     in double precision; of one direction only those with the ``k + 1`` smallest ids are indexed. Of more than :data:`COPIES` equal vectors only the
     ``k + 1`` smallest ids are indexed, which is enough to answer exactly for all of them.
@@ -384,6 +519,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
         chosen = materialize(ranked.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("kept")))
         marked = rows.select("id", "vec", *hashes).join(broadcast_if(chosen, heavy, 200), ["h1", "h2"], "left")
         indexed = marked.where(F.col("kept").isNull() | F.array_contains("kept", F.col("id"))).select("id", "vec")
+    sample_rows = min(max(sample_rows, total // 500), max(sample_rows, most_sample_rows))
     share = min(1.0, 1.2 * sample_rows / max(total, 1))  # some of these vectors may be unusable
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows + sample_rows // 2).toArrow()
     x, _ = _matrix(picked["vec"], width) if len(picked) else (np.zeros((0, width), np.float32), None)
@@ -391,22 +527,26 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
     x = x[rng.permutation(len(x))[:sample_rows]]
     in_leaf = max(8, int(len(x) * leaf_rows / max(total, 1)))
     wide = _unit64(x) if len(x) else x
-    anchors = _anchors(wide, max(1, BROADCAST_BYTES // (32 * k * width)))
+    anchors = _anchors(wide[:8192], max(1, BROADCAST_BYTES // (32 * k * width)))
     if len(anchors):
         hot = _hot_groups(rows, anchors, width, k)
         indexed = indexed.mapInArrow(_answered(hot, width, k, False), "id long, vec array<float>")
         same, _, _ = _balls(wide, anchors, SAME)
         wide = np.concatenate([np.delete(wide, same, axis=0), anchors])
     x = wide.astype(np.float32)
-    forest = spark.sparkContext.broadcast([fit_tree(x, in_leaf, rng) for _ in range(trees)])
-    placed = indexed.mapInArrow(_assign(forest, width, probes, slack), "tree int, leaf long, id long, home boolean, vec binary")
-    expected = total // max(1, min((t.leaves for t in forest.value), default=1))
+    forest = spark.sparkContext.broadcast([fit_tree(x, in_leaf, rng, refine=refine) for _ in range(trees)])
+    leaves = sum(t.leaves for t in forest.value)
+    placed = indexed.mapInArrow(_assign(forest, width, probes, slack), "leaf long, id long, home boolean, vec binary")
+    expected = _largest(forest.value, x) * total // max(1, len(x))
     if expected > group_rows:
-        placed = _refined(placed, width, expected, leaf_rows, group_rows, probes, slack, seed)
-    found = placed.groupBy("tree", "leaf").applyInArrow(_search(width, k, leaf_rows, probes, slack), "id long, near array<struct<far:double,id:long>>")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+        placed = _refined(placed, width, expected, leaf_rows, group_rows, 2, slack, seed, refine)
+        placed = placed.repartition(max(1, -(-total * trees // leaf_rows)), "leaf")
+    else:  # leaves are numbered, so that each task gets two of them
+        placed = placed.withColumn("leaf", F.col("leaf").cast("int"))
+        placed = placed.repartitionById(max(1, -(-leaves // 2)), "leaf")
+    found = placed.groupBy("leaf").applyInArrow(_search(width, k, leaf_rows, probes, slack, refine), "id long, near array<struct<far:double,id:long>>")
+    best = _completed(_merged(found, k), indexed, width, k)
     if heavy:
-        best = materialize(best)
         answers = chosen.select("h1", "h2", "kept", F.col("kept")[0].alias("id")).join(best, "id")
         whole = F.slice(F.array_sort(F.concat(F.array(F.struct(F.lit(-1.0).alias("far"), F.col("id").alias("id"))), "near")), 1, k)
         taken = answers.select("h1", "h2", "kept", whole.alias("near"))
