@@ -56,6 +56,8 @@ def test_copies(spark):
     assert {tuple(r) for r in copies.p1_members(df).collect()} == {(min(v), x) for v in by.values() for x in v if x != min(v)}
     got = copies.p1_records(df).collect()
     assert {(r["first_id"], r["n_copies"]) for r in got} == {(min(v), len(v)) for v in by.values()}
+    said = {i: t for i, t, _ in rows}
+    assert all(r["prompt"] == said[r["first_id"]] for r in got)
     empty = df.limit(0)
     assert copies.p1_members(empty).count() == 0 and copies.p1_records(empty).count() == 0
 

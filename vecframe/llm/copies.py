@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.runtime import materialize
+from vecframe.runtime import broadcast_if, materialize, spread
 
 _NOT_KEPT = r"[^\p{L}\p{N}\p{M}]|[\x{FE00}-\x{FE0F}\x{20E3}]"
 _FIELD = re.compile(r"""\s*["'“‘]?\s*([^\W\d_][\w .\-]{0,63}?)\s*["'”’]?\s*(?:[:=]|->|=>)\s*(.*?)\s*$""", re.S)
@@ -88,68 +88,89 @@ def canonical_column(text: Column) -> Column:
     return F.when(special, in_python(F.when(special, text))).otherwise(plain)
 
 
-def sorted_keys(df: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """``key`` and ``id``, range-partitioned and sorted by both, written once. Rows without a key or an id are left out.
+def sorted_keys(df: DataFrame, id_col: str, key: Column, *more: str) -> DataFrame:
+    """``key``, ``id`` and ``more``, range-partitioned and sorted by key and id. Rows without a key or an id are left out.
 
-    The id is part of the range, so a key that a third of all rows share is cut over many partitions like any other.
+    The keys are written before they are sampled for the ranges, so that each is computed once. The id is part of the
+    range, so a key that a third of all rows share is cut over many partitions like any other.
     """
-    rows = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id")).where((F.col("key") != "") & F.col("id").isNotNull())
-    return materialize(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id"))
+    rows = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), *more).where((F.col("key") != "") & F.col("id").isNotNull())
+    return materialize(materialize(spread(rows)).repartitionByRange("key", "id").sortWithinPartitions("key", "id"))
 
 
-def _scan(records: bool):
-    """Adjacent equal keys are one run, adjacent equal (key, id) one row. A partition's first and last run are its edges.
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The rows of a sorted partition without repeated (key, id), whether each begins a run of its key, and the run's first id."""
+    key = last = run = None
+    for b in batches:
+        keys, ids = b["key"].to_numpy(object), b["id"].to_numpy(np.int64)
+        if not len(ids):
+            continue
+        new = keys != np.concatenate([np.array([key], object), keys[:-1]])
+        again = ~new & (ids == np.concatenate([[ids[0] - 1 if last is None else last], ids[:-1]]))
+        b, keys, ids, new = b[~again], keys[~again], ids[~again], new[~again]
+        if not len(ids):
+            continue
+        starts = np.flatnonzero(new)
+        runs = np.concatenate([np.full(starts[0] if len(starts) else len(ids), run or 0, np.int64), np.repeat(ids[starts], np.diff([*starts, len(ids)]))])
+        yield b, new, runs
+        key, last, run = keys[-1], int(ids[-1]), int(runs[-1])
+
 
-    records: a row (run, n, key) for each run, with the key at an edge only. Else a row (run, id) for each row after the
-    first of its run, and for the first row too of an edge run, since that run may have begun in an earlier partition.
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(run, id) of each row after the first of its run, and of the first row too of a partition's first and last run.
+
+    These two are its edges: they may go on in a partition before or behind.
     """
+    tail, first = None, True
+    for b, new, runs in _runs(batches):
+        ids = b["id"].to_numpy(np.int64)
+        show = ~new
+        show[0] |= first
+        yield pd.DataFrame({"run": runs[show], "id": ids[show]})
+        tail, first = int(runs[-1]), False
+    if tail is not None:
+        yield pd.DataFrame({"run": [tail], "id": [tail]})
+
+
+def _records(texts: str | None):
+    """(run, n, key, text) of each run, with its first row's text; the key is given at a partition's edges only."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = last = run = None
-        n, at_start = 0, True
-        for b in batches:
-            keys, ids = b["key"].to_numpy(object), b["id"].to_numpy(np.int64)
-            if not len(ids):
+        open_run, at_start = None, True
+        for b, new, runs in _runs(batches):
+            starts, ids, keys = np.flatnonzero(new), b["id"].to_numpy(np.int64), b["key"].to_numpy(object)
+            said = b[texts].to_numpy(object) if texts else np.full(len(ids), None)
+            sizes = np.diff([*starts, len(ids)])
+            if open_run is not None:
+                open_run[1] += int(starts[0]) if len(starts) else len(ids)
+            if not len(starts):
                 continue
-            new = keys != np.concatenate([np.array([key], object), keys[:-1]])
-            again = ~new & (ids == np.concatenate([[ids[0] - 1 if last is None else last], ids[:-1]]))
-            keys, ids, new = keys[~again], ids[~again], new[~again]
-            if not len(ids):
-                continue
-            starts = np.flatnonzero(new)
-            runs = np.concatenate([np.full(starts[0] if len(starts) else len(ids), run or 0, np.int64), np.repeat(ids[starts], np.diff([*starts, len(ids)]))])
-            if records:
-                if len(starts):
-                    n += int(starts[0])
-                    if run is not None:
-                        yield pd.DataFrame({"run": [run], "n": [n], "key": [key if at_start else None]})
-                        at_start = False
-                    inner = starts[:-1] if run is not None else starts[1:-1]
-                    if run is None and len(starts) > 1:
-                        yield pd.DataFrame({"run": ids[:1], "n": [int(starts[1])], "key": [keys[0]]})
-                        at_start = False
-                    if len(inner):
-                        ends = starts[len(starts) - len(inner) :]
-                        yield pd.DataFrame({"run": ids[inner], "n": ends - inner, "key": np.full(len(inner), None)})
-                    n = len(ids) - int(starts[-1])
-                else:
-                    n += len(ids)
-            else:
-                show = ~new
-                show[0] |= run is None
-                yield pd.DataFrame({"run": runs[show], "id": ids[show]})
-            key, last, run = keys[-1], int(ids[-1]), int(runs[-1])
-        if run is not None:
-            yield pd.DataFrame({"run": [run], "n": [n], "key": [key]}) if records else pd.DataFrame({"run": [run], "id": [run]})
+            out = [] if open_run is None else [tuple(open_run)]
+            out += zip(ids[starts[:-1]].tolist(), sizes[:-1].tolist(), [None] * (len(starts) - 1), said[starts[:-1]])
+            last = starts[-1]
+            if out and at_start:
+                out[0] = (*out[0][:2], open_run[2] if open_run is not None else keys[0], out[0][3])
+            elif open_run is not None:
+                out[0] = (*out[0][:2], None, out[0][3])
+            at_start &= not out
+            if out:
+                yield pd.DataFrame(out, columns=["run", "n", "key", "text"])
+            open_run = [int(ids[last]), int(sizes[-1]), keys[last], said[last]]
+        if open_run is not None:
+            yield pd.DataFrame([tuple(open_run)], columns=["run", "n", "key", "text"])
 
     return scan
 
 
 def _joined_edges(ordered: DataFrame) -> DataFrame:
     """(run, first_id, n_copies) of the runs that go over a partition's edge: at most two for each partition."""
-    runs = ordered.mapInPandas(_scan(records=True), "run long, n long, key string").where("key is not null")
+    runs = ordered.mapInPandas(_records(None), _RECORD).where("key is not null")
     whole = runs.groupBy("key").agg(F.collect_set("run").alias("runs"), F.min("run").alias("first_id"), F.sum("n").alias("n_copies"))
-    return whole.where(F.size("runs") > 1).select(F.explode("runs").alias("run"), "first_id", "n_copies")
+    edges = materialize(whole.where(F.size("runs") > 1).select(F.explode("runs").alias("run"), "first_id", "n_copies"))
+    return broadcast_if(edges, edges.count(), 32)
+
+
+_RECORD = "run long, n long, key string, text string"
 
 
 def copy_members(df: DataFrame, id_col: str, key: Column) -> DataFrame:
@@ -158,17 +179,20 @@ def copy_members(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     A null or empty key has no copies; an id that is delivered more than once counts once; an empty table gives no rows.
     """
     ordered = sorted_keys(df, id_col, key)
-    rows = ordered.mapInPandas(_scan(records=False), "run long, id long")
-    whole = rows.join(F.broadcast(_joined_edges(ordered)), "run", "left")
+    rows = ordered.mapInPandas(_members, "run long, id long")
+    whole = rows.join(_joined_edges(ordered), "run", "left")
     return whole.select(F.coalesce("first_id", "run").alias("first_id"), "id").where("first_id <> id")
 
 
-def copy_records(df: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """(first_id, n_copies): one row for each distinct key that is not empty, with the exact number of its ids."""
-    ordered = sorted_keys(df, id_col, key)
-    runs = ordered.mapInPandas(_scan(records=True), "run long, n long, key string").select("run", "n")
-    whole = runs.join(F.broadcast(_joined_edges(ordered)), "run", "left").where("first_id is null or first_id = run")
-    return whole.select(F.col("run").alias("first_id"), F.coalesce("n_copies", "n").alias("n_copies"))
+def copy_records(df: DataFrame, id_col: str, key: Column, text_col: str) -> DataFrame:
+    """(first_id, n_copies, text): one row for each distinct key that is not empty, with the exact number of its ids.
+
+    The text is that of the smallest id; it travels with the key, so the source is read once.
+    """
+    ordered = sorted_keys(df, id_col, key, text_col)
+    runs = ordered.mapInPandas(_records(text_col), _RECORD).select("run", "n", "text")
+    whole = runs.join(_joined_edges(ordered), "run", "left").where("first_id is null or first_id = run")
+    return whole.select(F.col("run").alias("first_id"), F.coalesce("n_copies", "n").alias("n_copies"), "text")
 
 
 def p1_members(entries: DataFrame) -> DataFrame:
@@ -178,6 +202,5 @@ def p1_members(entries: DataFrame) -> DataFrame:
 
 def p1_records(entries: DataFrame) -> DataFrame:
     """One record for each set of copies: its first entry with that entry's prompt and the number of copies."""
-    first = copy_records(entries, "entry_id", canonical_column(F.col("prompt")))
-    texts = entries.select(F.col("entry_id").alias("first_id"), "prompt").dropDuplicates(["first_id"])
-    return first.join(texts, "first_id")
+    rows = entries.select("entry_id", "prompt")
+    return copy_records(rows, "entry_id", canonical_column(F.col("prompt")), "prompt").withColumnRenamed("text", "prompt")
