@@ -430,6 +430,22 @@ def test_sentences_keep_addresses_and_names_whole(spark):
     assert [got[i] for i in range(len(cases))] == cases
 
 
+def test_sentences_after_abbreviations_in_any_case(spark):
+    cases = [["Approx. 3 items came.", "DR. Smith paid them.", "See FIG. 3 and SEC. 2 for it."], ["It uses Node.JS and ASP.NET here.", "Call list.Add(x) in System.Text.Json."], ["I met Al.", "He said no.", "Then he left."]]
+    got = units(spark, [" ".join(c) for c in cases])
+    assert [got[i] for i in range(len(cases))] == cases
+
+
+def test_sentence_positions_over_blocks(spark):
+    for n in (0, 1, 2, 3, 4, 9, 3000):
+        df = spark.createDataFrame([([(7 * i) % 5 for i in range(n)],)], "x array<int>")
+        for block in (2, 4, 1024):
+            assert df.where("size(x) > 0").select(sentences._starts(F.col("x"), block)).collect() == ([] if not n else [([sum((7 * i) % 5 for i in range(j)) for j in range(n)],)])
+    text = "One. Two! " * 30_000
+    got = units(spark, [text])[0]
+    assert len(got) == 60_000 and set(got) == {"One.", "Two!"}
+
+
 def test_sentences_of_long_quotations(spark):
     said = "Stop now. Do not go! " * 150
     cases = [[f"She read “{said}” and left.", "Done."], [f'She read "{said.strip()}" and left.', "Done."], [f"Er las „{said.strip()}“ und ging.", "Ende."], ["彼は「" + "待って。だめ！" * 300 + "」と言った。", "終わり。"], ["“One.” he said.", "Two “three.", "Four.", "Five."]]
