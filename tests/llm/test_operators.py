@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA, same_rows
 
-from vecframe.llm import conversations, copies, leakage, neighbors, packing, pairs, queries, sentences, topn
+from vecframe.llm import conversations, copies, leakage, neighbors, packing, pairs, queries, refusals, sentences, topn
 
 SQL = queries.oracle_sql()
 
@@ -265,7 +265,7 @@ def test_defects():
     q = "How do I add the entry to the file of the index?"
     for r in (None, "", " \n", "<p> </p>", "N/A", "null", "…", "​", "**"):
         assert d(q, r) == "empty"
-    for r in (q, q.upper(), f"You asked: {q}", f"{q} {q}", q[:-1] + "."):
+    for r in (q, q.upper(), f"You asked: {q}", f"Sure! {q}", f"{q} {q}", q[:-1] + "."):
         assert d(q, r) == "echo"
     for r in ("I'm sorry, but I can't help with that.", "My guidelines do not permit me to talk about it.", "Dabei kann ich leider nicht helfen.", "抱歉，我无法帮助您处理这个请求。", "Je préfère ne pas répondre."):
         assert d(q, r) == "refusal"
@@ -292,6 +292,35 @@ def test_refusals_of_any_length():
     assert not pairs.is_refusal(answer * 2 + 'The text "I can\'t help with that" comes from the old service.')
 
 
+DECLINING = [
+    "I'd rather not talk about this.", "As an AI language model, I don't have the ability to do this.", "Das kann ich nicht tun.", "Je ne suis pas en mesure de répondre à cela.", "Lo siento, no puedo hacerlo.",
+    "申し訳ありませんが、それはできません。", "很抱歉，我不能这样做。", "Sorry, no.", "I am not at liberty to talk about that.", "I'm not willing to answer that question.", "We can't tell you anything about this.",
+    "I will have to pass on that.", "Ich möchte darüber nicht reden.", "Ich kann dir das leider nicht sagen.", "Je ne veux pas parler de ce sujet.", "Je regrette, je ne peux rien dire.", "No quiero responder a esa pregunta.",
+    "No estoy en condiciones de responder.", "我不愿意谈这个问题。", "对不起，这个我不能说。", "その話題についてはお話ししたくありません。", "すみませんが、お答えできません。",
+]
+SOUND = [
+    "The cache cannot answer until it is warm.", "You cannot delete the key while the index loads.", "No, it is not possible to change the key.", "Der Cache kann das nicht speichern.", "Das Feld kann nicht leer sein.",
+    "Le cache ne peut pas répondre à temps.", "No puedes usar ese campo.", "El cargador no puede leer el archivo.", "缓存不能存储空值。", "このフィールドは空にできません。", "I don't know of a limit for this field.", "We do not store the vector.",
+    "Sorry about that, the field is called rating.", "No.", "Nein.", "いいえ。", "I can confirm that the threshold is 0.2.",
+]
+
+
+def test_refusals_by_the_model():
+    assert not {*DECLINING, *SOUND} & {*refusals.DECLINES, *refusals.ANSWERS}  # none of them was fitted on
+    model = refusals.Refusals()
+    found = [x for x in DECLINING if pairs.is_refusal(x, "What is it?", model)]
+    assert found == DECLINING
+    assert [x for x in SOUND if pairs.is_refusal(x, "What is it?", model)] == []
+    assert pairs.is_refusal("Thank you for asking. " + DECLINING[0], "What is it?", model) and not pairs.is_refusal("Set index_name first. Then run it. " + DECLINING[0], "What is it?", model)
+
+
+def test_sample_of_languages(spark):
+    docs = [(i, "ein langes Wort " * 20_000, "de") for i in range(5)] + [(10, "kurz", "DE-at"), (11, "short", "english"), (12, "mot", "fr_FR"), (13, None, "fr"), (14, "", "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert pairs.fit_languages(df, "doc_id", "text", "lang").names == ["de", "fr"]
+    assert pairs.fit_languages(df, "doc_id", "text", "lang", languages=1).names == ["de"]
+
+
 def test_truncated_lists(spark):
     for t, share in (("1. Open the file\n2. Then set the", None), ("1. Open the file\n2. Then set the va", 0.01), ("- Open the file.\n- Add the entry.\n- Then se", None), ("1. Open the file\n2.", None)):
         assert pairs.is_truncated(t, share)

@@ -1,6 +1,7 @@
 """Defective prompt and response pairs: empty, truncated, refusal, echo, or in another language.
 
 Languages come from a naive Bayes classifier over character n-grams, fitted on a bounded sample of labelled documents.
+Refusals come from a second such classifier, of sentences, beside wordings that are known to decline.
 Truncation comes from the likelihood that a text ends after its last characters: how often these occur at an end, of how
 often they occur at all, counted over the responses of the whole table, beside unclosed brackets and fences. The last item of a
 list may lack an end mark: for it, a sentence's or an item's end counts like a text's; an item of one word, which is a
@@ -20,10 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm.refusals import CUE, Refusals
 from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize, spread
 
-#: Labelled documents of each language that the classifier is fitted on, at most; their choice goes by a hash of the id.
-SAMPLE_DOCS = 300
+#: Labelled documents of each language that the classifier is fitted on, at most, and their characters, but for the last
+#: document; their choice goes by a hash of the id. Languages that the classifier knows at most, those of most documents.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 300, 600_000, 250
+#: Languages from which on a word that none of them has far more often than the next one tells nothing.
+SHARED_BY = 4
+#: Responses that the model of refusals takes for answers, by a hash of their id.
+SAMPLE_RESPONSES = 4000
 #: A text ends after its last characters less often than this: it is truncated.
 END_SHARE = 0.08
 #: Characters of an ending, longest first, and how often it must occur to count.
@@ -33,6 +40,7 @@ MISSING = {"", "null", "none", "na", "nan", "nil", "undefined", "missing", "empt
 # What introduces a repeated prompt.
 INTRODUCTIONS = {
     "youasked", "yousaid", "yourquestion", "yourquestionwas", "question", "prompt", "q", "user", "frage", "duhastgefragt", "siefragten", "deinefrage", "ihrefrage",
+    "sure", "ofcourse", "certainly", "okay", "ok", "gerne", "klar", "natürlich", "selbstverständlich", "biensûr", "daccord", "claro", "porsupuesto", "当然", "好的", "もちろん", "もちろんです", "はい",
     "votrequestion", "vousavezdemandé", "pregunta", "supregunta", "tupregunta", "preguntaste", "问题", "您问", "你问", "您的问题", "質問", "ご質問", "質問は",
 }
 # The names of the languages in each of them.
@@ -85,13 +93,23 @@ class Languages:
         self.rows = {g: i for i, g in enumerate(kept)}
         table = np.array([[c[g] for c in counts] for g in kept], float).reshape(len(kept), len(self.names)) + 0.1
         self.table = np.log(table / table.sum(axis=0)).astype(np.float32)
-
+        self.shared = self._shared([Counter(w for t in texts[k] for w in set(self.words(t))) for k in self.names], [max(1, len(texts[k])) for k in self.names])
         self.known: dict[str, np.ndarray | None] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
         return _NO_WORD.sub(" ", _NEUTRAL.sub(" ", text).lower()).split()
 
+    @staticmethod
+    def _shared(counts: list[Counter], documents: list[int]) -> set[str]:
+        """Words of the subject that texts of many languages hold about as often, and which tell none of them."""
+        out = set()
+        for w in {w for c in counts for w in c}:
+            rates = sorted((c[w] / n for c, n in zip(counts, documents) if c[w]), reverse=True)
+            if len(rates) >= SHARED_BY and rates[0] < 10 * rates[1]:
+                out.add(w)
+        return out
+
     @classmethod
     def grams(cls, text: str) -> Iterator[str]:
         for w in cls.words(text):
@@ -115,7 +133,7 @@ class Languages:
         own = "".join(words)
         if not self.names or len(own) + 2 * len(_DENSE.findall(own)) < 12:
             return None
-        scores = [x for x in map(self.score, words) if x is not None]
+        scores = [x for x in map(self.score, (w for w in words if w not in self.shared)) if x is not None]
         if not scores:
             return None
         score = sum(scores)
@@ -138,19 +156,30 @@ def is_echo(prompt: str, response: str) -> bool:
     return len(r) >= 0.6 * len(p) and any(p.endswith(x) for x in {r, *(r[len(i) :] for i in INTRODUCTIONS if r.startswith(i))} if len(x) >= 0.6 * len(p))
 
 
-def is_refusal(response: str, prompt: str = "") -> bool:
-    """Whether it declines, at any length, before it has answered by code or a name that the prompt doesn't hold."""
+def is_refusal(response: str, prompt: str = "", model: Refusals | None = None) -> bool:
+    """Whether it declines, at any length, before it has answered by code or a name that the prompt doesn't hold.
+
+    A sentence declines by its wording or, the first or the last one, by the model.
+    """
     text = response.replace("’", "'")
     if not _QUOTE_MARKS.isdisjoint(text):
         text = _QUOTE.sub(" ", text)
-    if not _REFUSALS.search(text.lower()):
+    if not CUE.search(text.lower()):
+        return False
+    worded = _REFUSALS.search(text.lower())
+    if not worded and model is None:
         return False
-    for i, s in enumerate(_SENTENCE.split(text)):
+    sentences = [s for s in _SENTENCE.split(text) if s.strip()]
+    if not worded and not any(map(model.declines, {*sentences[:1], *sentences[-1:]})):
+        return False
+    for i, s in enumerate(sentences):
         if _REFUSALS.search(s.lower()) if i == 0 else _REFUSALS.search(" " + s.lower(), 1):
             return True
+        if model and i in (0, len(sentences) - 1) and model.declines(s):
+            return True
         if any(x not in prompt for x in _ANSWERS.findall(_ADDRESS.sub(" ", s))):
             return False
-    return True
+    return bool(worded)
 
 
 def is_truncated(response: str, end_share: float | None) -> bool:
@@ -193,25 +222,37 @@ def foreign(prompt: str, response: str, languages: Languages) -> bool:
     return not any(re.search(rf"(?<![^\W_]){re.escape(n)}" if n.isascii() else re.escape(n), asked) for n in LANGUAGE_NAMES.get(r[0], r[0]).split())
 
 
-def defect(prompt: str | None, response: str | None, end_share: float | None, languages: Languages) -> str | None:
+def defect(prompt: str | None, response: str | None, end_share: float | None, languages: Languages, refusals: Refusals | None = None) -> str | None:
     if is_empty(response):
         return "empty"
     prompt = prompt or ""
     if is_echo(prompt, response):
         return "echo"
-    if is_refusal(response, prompt):
+    if is_refusal(response, prompt, refusals):
         return "refusal"
     if foreign(prompt, response, languages):
         return "language"
     return "truncated" if is_truncated(response, end_share) else None
 
 
-def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS) -> Languages:
-    """The classifier, from ``sample_docs`` labelled documents of each language at most, of 100 to 4,000 characters."""
-    rows = docs.select(F.lower(F.trim(lang_col)).alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h")).where("l is not null and length(t) between 100 and 4000 and length(l) = 2")
+def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Languages:
+    """The classifier, from whole labelled documents: of each language ``sample_docs`` and ``sample_chars`` at most.
+
+    A label is a code of two or three letters, regions aside. Of more than ``languages`` those with the fewest documents are unknown.
+    """
+    code = F.regexp_extract(F.lower(F.trim(lang_col)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    rows = docs.select(code.alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h")).where("l <> '' and t <> ''")
     ranked = rows.selectExpr("l", "t", "row_number() over (partition by l order by h) as r").where(f"r <= {sample_docs}")
-    by = ranked.groupBy("l").agg(F.collect_list("t").alias("t"))
-    return Languages({x["l"]: x["t"] for x in by.limit(64).collect()})
+    taken = ranked.selectExpr("l", "t", "sum(length(t)) over (partition by l order by r) - length(t) as before").where(f"before < {sample_chars}")
+    by = taken.groupBy("l").agg(F.collect_list("t").alias("t")).orderBy(F.desc(F.size("t")), "l").limit(languages)
+    return Languages({x["l"]: x["t"] for x in by.collect()})
+
+
+def fit_refusals(pairs: DataFrame, id_col: str, response_col: str, sample: int = SAMPLE_RESPONSES) -> Refusals:
+    """The model of refusals; ``sample`` responses at most count as answers, but for those whose wording declines."""
+    rows = pairs.select(F.col(response_col).alias("t"), F.xxhash64(id_col).alias("h")).where("t <> ''").orderBy("h").limit(sample)
+    texts = [r["t"] for r in rows.collect()]
+    return Refusals(s for t in texts if not is_refusal(t) for s in _SENTENCE.split(t) if s.strip())
 
 
 def _ending(masked: Column, n: int) -> Column:
@@ -276,7 +317,7 @@ def end_shares(texts: DataFrame, n: int) -> tuple[DataFrame, int]:
     return ends.join(seen, "gram").select("gram", "seen", (F.when(of_item, F.col("ended")).otherwise(F.col("ends")) / F.col("seen")).alias("share")), number
 
 
-def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col: str, languages: Languages) -> DataFrame:
+def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col: str, languages: Languages, refusals: Refusals | None = None) -> DataFrame:
     """(id, defect): the defective pairs, each once, with one of empty, echo, refusal, language, truncated, in this order.
 
     A null prompt echoes nothing and has no language; a null response is empty; rows with a null id are left out; an id
@@ -292,11 +333,11 @@ def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col
         stats = materialize(table.where(F.col("seen") >= SUPPORT).select(F.col("gram").alias(f"g{n}"), F.col("share").alias(f"s{n}")))
         out = out.withColumn(f"g{n}", _ending(F.col("masked"), n)).join(broadcast_if(stats, number, 120), f"g{n}", "left")
         shares.append(F.col(f"s{n}"))
-    known = pairs.sparkSession.sparkContext.broadcast(languages)
+    known = pairs.sparkSession.sparkContext.broadcast((languages, refusals))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["defect"] = [defect(p, r, None if s != s else s, known.value) for p, r, s in zip(b["prompt"], b["response"], b["share"])]
+            b["defect"] = [defect(p, r, None if s != s else s, *known.value) for p, r, s in zip(b["prompt"], b["response"], b["share"])]
             yield b.loc[b["defect"].notna(), ["id", "defect"]]
 
     kind = dict(rows.dtypes)["id"]
@@ -305,4 +346,4 @@ def defective_pairs(pairs: DataFrame, id_col: str, prompt_col: str, response_col
 
 
 def p5_defects(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    return defective_pairs(hits, "hit_id", "prompt", "response", fit_languages(docs, "doc_id", "text", "lang"))
+    return defective_pairs(hits, "hit_id", "prompt", "response", fit_languages(docs, "doc_id", "text", "lang"), fit_refusals(hits, "hit_id", "response"))
