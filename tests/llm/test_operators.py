@@ -394,6 +394,27 @@ def test_leakage(spark):
     assert leakage.p7_leaked(df.limit(0), items).count() == 0 and leakage.p7_leaked(df, items.limit(0)).count() == 0
 
 
+def test_leakage_in_order_equals_the_plain_scan():
+    rng = random.Random(6)
+    for _ in range(300):
+        p = leakage.Passage(1, [rng.choice("abcdefghijklm") for _ in range(rng.randrange(5, 30))], False)
+        tokens = [rng.choice([*p.words, "x", "y"]) if rng.random() < 0.5 else p.words[i % len(p.words)] for i in range(rng.randrange(0, 60))]
+        n, known = len(p.words), set(p.words)
+        least, long = -(-n * 8 // 10), int(n * leakage.STRETCH)
+        plain = any(w in known and leakage._in_order(p.words, tokens[i : i + long]) >= least for i, w in enumerate(tokens))
+        run = any(tokens[j : j + 12] == p.words[i : i + 12] for i in range(n - 11) for j in range(len(tokens) - 11))
+        assert leakage.holds(p, tokens, "".join(tokens), {0, *np.cumsum([len(t) for t in tokens]).tolist()}) == (plain or run)
+
+
+def test_leakage_of_passages_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20)) for _ in range(40)]
+    items = spark.createDataFrame([(i, "b", "en", t) for i, t in enumerate(text)], "item_id long, benchmark string, lang string, passage string")
+    docs = spark.createDataFrame([(i, " ".join(t.split()[3:18])) for i, t in enumerate(text)], "doc_id long, text string")
+    monkeypatch.setattr(leakage, "PASSAGE_BYTES", 1500)
+    assert {tuple(r) for r in leakage.p7_leaked(docs, items).collect()} == {(i, i) for i in range(40)}
+
+
 def test_leakage_of_joined_and_broken_words(spark):
     p = "Because every shepherd in Maskfell misplaced hollow tollgates, the orchard had 838 sundials left and its stubborn vintner traded quilts until spring."
     items = spark.createDataFrame([(1, "b", "en", p)], "item_id long, benchmark string, lang string, passage string")

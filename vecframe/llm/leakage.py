@@ -1,10 +1,11 @@
 """Evaluation passages inside documents: positional postings, intersection from the rarest terms, exact verification.
 
-One pass over the documents stores the positional postings (term, document, positions) of the words, and for Chinese and
-Japanese passages of the four-character grams, that occur in any passage. Document frequencies over the whole corpus
-then choose each passage's rarest terms; their postings, moved by the term's place in the passage, are intersected, and
-every document left is compared with the passage in full. Words may be joined, broken or spaced in a document: of each run
-that suffices one gram of the joined words is posted too, wherever it is found. The passages are the small side, and their size is checked.
+A first pass counts in how many documents of the whole corpus each term of the passages occurs: words, and for Chinese and
+Japanese passages four-character grams. These frequencies choose each passage's rarest terms. A second pass stores the
+positional postings (term, document, positions) of these terms only; the lists, moved by the term's place in the
+passage, are intersected, and every document left is compared with the passage in full. Words may be joined, broken or
+spaced in a document: of each run that suffices one gram of the joined words is posted too, wherever it is found. The
+passages are taken in blocks of a checked size.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
+from ahocorasick import Automaton
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.runtime import BROADCAST_BYTES, materialize, spread
+from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize, spread
 
 WORDS_IN_A_ROW = 12
 CHARACTERS_IN_A_ROW = 20
@@ -30,6 +34,8 @@ STRETCH = 1.3
 #: Rarest terms that any match is sure to hold.
 ANCHORS = 3
 _GRAM = 4
+#: Passages of one block, in bytes of text.
+PASSAGE_BYTES = BROADCAST_BYTES // 8
 #: Characters of the grams of joined words; a run of as many words has as many at least.
 _RUN_GRAM = WORDS_IN_A_ROW
 # Accents that are dropped, characters that show nothing, scripts without spaces between words.
@@ -93,42 +99,67 @@ class Passage:
         return max(1, min(n if self.dense else n - int(n * (1 - SHARE) + 1e-9), ANCHORS, window))
 
 
-def passages(items: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> list[Passage]:
-    """The passages on the driver; too many for a broadcast are an error, to be met by calling in blocks of items."""
+def passages(items: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> Iterator[list[Passage]]:
+    """The passages on the driver, by blocks that fit a broadcast; the blocks go by a hash of the id."""
     lang = F.lower(F.col(lang_col)) if lang_col else F.lit(None).cast("string")
     rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), lang.alias("l")).where("i is not null and t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > BROADCAST_BYTES // 8:
-        raise ValueError(f"{size} bytes of passages are too many for one pass; call in blocks of items")
-    out = []
-    for i, t, code in rows.dropDuplicates(["i"]).collect():
-        w = words(t)
-        letters = "".join(w)
-        dense = (code or "")[:2] in ("zh", "ja") or 2 * len(_CJK.findall(letters)) > len(letters)
-        if len(letters) >= (CHARACTERS_IN_A_ROW if dense else 1):
-            out.append(Passage(i, w, dense))
-    return out
-
-
-def _postings(vocabulary, grams, joined):
+    blocks = -(-size // PASSAGE_BYTES)
+    for block in range(blocks):
+        out = []
+        for i, t, code in rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).dropDuplicates(["i"]).collect():
+            w = words(t)
+            letters = "".join(w)
+            dense = (code or "")[:2] in ("zh", "ja") or 2 * len(_CJK.findall(letters)) > len(letters)
+            if len(letters) >= (CHARACTERS_IN_A_ROW if dense else 1):
+                out.append(Passage(i, w, dense))
+        if out:
+            yield out
+
+
+def _frequencies(vocabulary):
+    """(term, docs) of each partition: how many of its documents hold each known word or gram."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, in_grams, in_runs = vocabulary.value, grams.value, joined.value
+        terms, in_grams = vocabulary.value
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b["text"].tolist():
+                tokens = words(text)
+                seen.update(terms.keys() & set(tokens))
+                if in_grams and _CJK.search(text):
+                    seen.update((g,) for g in in_grams.keys() & set(_grams("".join(tokens))))
+        found = [((in_grams[g[0]] if isinstance(g, tuple) else terms[g]), n) for g, n in seen.items()]
+        yield pd.DataFrame(found, columns=["term", "docs"]).astype({"term": "int32", "docs": "int64"})
+
+    return scan
+
+
+def _postings(vocabulary):
+    """(term, doc, at): where a document holds each anchor."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, in_grams, in_runs = vocabulary.value
+        runs = Automaton()
+        for g, k in in_runs.items():
+            runs.add_word(g, k)
+        runs.make_automaton()
         for b in batches:
             rows = []
             for doc, text in zip(b["id"].tolist(), b["text"].tolist()):
                 found: dict[int, list[int]] = {}
                 tokens = words(text)
-                for at, w in enumerate(tokens):
-                    if (k := terms.get(w)) is not None:
-                        found.setdefault(k, []).append(at)
+                if terms.keys() & set(tokens):
+                    for at, w in enumerate(tokens):
+                        if (k := terms.get(w)) is not None:
+                            found.setdefault(k, []).append(at)
+                stream = "".join(tokens)
                 if in_grams and _CJK.search(text):
-                    for at, g in enumerate(_grams("".join(tokens))):
+                    for at, g in enumerate(_grams(stream)):
                         if (k := in_grams.get(g)) is not None:
                             found.setdefault(k, []).append(at)
                 if in_runs:
-                    stream = "".join(tokens)
-                    for g in in_runs.keys() & {stream[i : i + _RUN_GRAM] for i in range(len(stream) - _RUN_GRAM + 1)}:
-                        found[in_runs[g]] = [0]
+                    found |= {k: [0] for _, k in runs.iter(stream)}
                 rows += [(k, doc, at) for k, at in found.items()]
             yield pd.DataFrame(rows, columns=["term", "doc", "at"])
 
@@ -148,17 +179,15 @@ def _in_order(a: list[str], b: list[str]) -> int:
     return len(ends)
 
 
-def holds(passage: Passage, tokens: list[str]) -> bool:
-    """Whether a document's words hold the passage, by the runs or the share in order that its language asks for."""
-    stream = "".join(tokens)
+def holds(passage: Passage, tokens: list[str], stream: str, bounds: set[int]) -> bool:
+    """Whether a document's words hold the passage, by the runs or the share in order that its language asks for.
+
+    ``stream`` is the joined words and ``bounds`` the places in it where a word begins or ends.
+    """
     if passage.dense:
         p = "".join(passage.words)
         return any(p[i : i + CHARACTERS_IN_A_ROW] in stream for i in range(len(p) - CHARACTERS_IN_A_ROW + 1))
     n = len(passage.words)
-    bounds, at = {0}, 0
-    for w in tokens:
-        at += len(w)
-        bounds.add(at)
     for i in range(n - WORDS_IN_A_ROW + 1):
         some = passage.words[i : i + WORDS_IN_A_ROW]
         run = "".join(some)
@@ -173,11 +202,17 @@ def holds(passage: Passage, tokens: list[str]) -> bool:
     long = int(n * STRETCH)
     known = set(passage.words)
     hits = [i for i, w in enumerate(tokens) if w in known]
+    need = end = 0
     for x in range(len(hits) - least + 1):
         if hits[x + least - 1] - hits[x] < long:
-            piece = tokens[hits[x] : hits[x] + long]
-            if _in_order(passage.words, piece) >= least:
+            # a stretch has at most as many words in order as one before it, and those that it has gained since
+            last = bisect_left(hits, hits[x] + long)
+            if last - end < need:
+                continue
+            order = _in_order(passage.words, tokens[hits[x] : hits[x] + long])
+            if order >= least:
                 return True
+            need, end = least - order, last
     return False
 
 
@@ -188,7 +223,8 @@ def _verify(by_item):
             rows = []
             for doc, text, items in zip(b["id"].tolist(), b["text"].tolist(), b["items"].tolist()):
                 tokens = words(text)
-                rows += [(doc, i) for i in items if holds(known[i], tokens)]
+                stream, bounds = "".join(tokens), {0, *accumulate(map(len, tokens))}
+                rows += [(doc, i) for i in items if holds(known[i], tokens, stream, bounds)]
             yield pd.DataFrame(rows, columns=["id", "item"]).astype("int64")
 
     return scan
@@ -201,30 +237,42 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_c
     order; of a Chinese or Japanese passage :data:`CHARACTERS_IN_A_ROW` consecutive characters. Null and empty texts and
     passages hold nothing; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    known = passages(items, item_col, passage_col, lang_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    terms = sorted({(p.dense, t) for p in known for t in p.terms})
-    number = {t: i for i, t in enumerate(terms)}
+    found = [_leaked(texts, known) for known in passages(items, item_col, passage_col, lang_col)]
+    return reduce(DataFrame.unionAll, found) if found else texts.sparkSession.createDataFrame([], "id long, item long")
+
+
+def _leaked(texts: DataFrame, known: list[Passage]) -> DataFrame:
+    """The documents that hold passages of one block."""
+    spark = texts.sparkSession
     share = spark.sparkContext.broadcast
-    vocabulary, grams = (share({t: i for (dense, t), i in number.items() if dense == kind}) for kind in (False, True))
-    runs = {g: len(terms) + i for i, g in enumerate(sorted({g for p in known for g in p.run_grams()}))}
-    postings = materialize(spread(texts).mapInPandas(_postings(vocabulary, grams, share(runs)), "term int, doc long, at array<int>"))
-    counted = dict(postings.groupBy("term").count().collect())  # one row a term of the passages at most
-    rows = []
+    number = {t: i for i, t in enumerate(sorted({(p.dense, t) for p in known for t in p.terms}))}
+
+    def by_kind(chosen: set[tuple[bool, str]]) -> tuple[dict[str, int], dict[str, int]]:
+        return tuple({t: number[dense, t] for dense, t in chosen if dense == kind} for kind in (False, True))
+
+    wide = spread(texts)
+    counts = wide.mapInPandas(_frequencies(share(by_kind(set(number)))), "term int, docs long").groupBy("term").agg(F.sum("docs"))
+    counted = dict(counts.collect())  # one row a term of the block's passages at most
+    runs = {g: len(number) + i for i, g in enumerate(sorted({g for p in known for g in p.run_grams()}))}
+    rows, chosen = [], set()
     for p in known:
         df = Counter({t: counted.get(number[p.dense, t], 0) for t in p.terms})
         n = max(8, len(p.terms) // 2)
-        rows += [(number[p.dense, p.terms[i]], p.item, i, p.least_anchors, n) for i in p.anchors(df)]
+        places = p.anchors(df)
+        chosen |= {(p.dense, p.terms[i]) for i in places}
+        rows += [(number[p.dense, p.terms[i]], p.item, i, p.least_anchors, n) for i in places]
         rows += [(runs[g], p.item, 0, 1, 1 << 30) for g in p.run_grams()]  # one suffices, at any place
-    anchors = spark.createDataFrame(rows, "term int, item long, place int, least int, width int")
-    hits = postings.join(F.broadcast(anchors), "term").select("doc", "item", "place", "least", "width", F.explode("at").alias("at"))
+    postings = materialize(wide.mapInPandas(_postings(share((*by_kind(chosen), runs))), "term int, doc long, at array<int>"))
+    anchors = broadcast_if(spark.createDataFrame(rows, "term int, item long, place int, least int, width int"), len(rows), 32)
+    # by document, once: the intersection and the candidates need no other partitioning
+    hits = postings.repartition("doc").join(anchors, "term").select("doc", "item", "place", "least", "width", F.explode("at").alias("at"))
     moved = F.floor((F.col("at") - F.col("place")) / F.col("width"))
     near = hits.select("doc", "item", "place", "least", F.explode(F.array(moved, moved + 1)).alias("band"))
     pairs = near.groupBy("doc", "item", "least", "band").agg(F.count_distinct("place").alias("n")).where("n >= least")
     candidates = materialize(pairs.groupBy(F.col("doc").alias("id")).agg(F.collect_set("item").alias("items")))
-    found = candidates.count()
-    small = F.broadcast(candidates) if found * (64 + 8 * len(known)) <= BROADCAST_BYTES else candidates
+    size = candidates.agg(F.sum(F.size("items") * 8 + 64)).first()[0] or 0
+    small = F.broadcast(candidates) if size <= BROADCAST_BYTES else candidates
     return texts.join(small, "id").mapInPandas(_verify(share({p.item: p for p in known})), "id long, item long").distinct()
 
 
