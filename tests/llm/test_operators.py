@@ -250,6 +250,38 @@ def test_conversations(spark):
     assert conversations.p4_conversations(df.limit(0)).count() == 0
 
 
+def test_conversations_cut_at_calibrated_gaps(spark):
+    rng = random.Random(8)
+    rows, truth, mid = [], set(), 0
+    for channel in ("c1", "c2", "c3", "hot"):
+        t = 1_700_000_000_000
+        for _ in range(300 if channel == "hot" else 30):
+            t += rng.randrange(6, 30) * 3_600_000
+            start, turns = t * 1000, rng.choice([1, 2, 2, 4, 6])
+            for turn in range(turns):
+                mid += 1
+                rows.append((mid, channel, "ann" if turn % 2 == 0 else "bo", "text", str(t), None))
+                if turns > 1:
+                    truth.add((f"{channel}#{start}", turn + 1, mid))
+                t += rng.randrange(5, 120) * 1000
+    rows.append((mid + 1, "c1", "ann", "text", "unreadable", None))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "message_id long, channel string, speaker string, content string, sent_ms string, seq_no long").repartition(5)
+    c = F.col
+    # every channel begins with ann, so she is the user and the others answer; sessions of one message lack a reply
+    known = conversations.inferred_roles(df, c("channel"), c("speaker"), conversations.instant(c("sent_ms")), "message_id")
+    for gap in (None, 3_600_000_000):
+        got = conversations.conversations(known, c("channel"), c("inferred_role"), c("content"), c("sent_ms"), c("seq_no"), "message_id", named=False, gap=gap)
+        assert {(r["session"], r["turn"], r["id"]) for r in got.collect()} == truth
+    assert conversations.conversations(known.limit(0), c("channel"), c("inferred_role"), c("content"), c("sent_ms"), c("seq_no"), "message_id", named=False).count() == 0
+
+
+def test_calibrated_gap():
+    assert conversations.calibrated_gap({}) is None and conversations.calibrated_gap({40: 1000, 41: 900, 42: 800}) is None
+    gap = conversations.calibrated_gap({44: 50, 46: 400, 48: 300, 52: 3, 66: 40, 68: 90, 70: 30})
+    assert 2 ** (48 / 2) < gap < 2 ** (66 / 2)
+
+
 # pairs
 
 TRAINED = {
