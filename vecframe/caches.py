@@ -82,7 +82,7 @@ class EmbeddingsCache:
         keys = [self.key(t, m) for t, m in requests]
         if not keys or not self.store.exists():
             return [None] * len(keys)
-        found = {r[KEY]: r for r in self.store.read().where(F.col(KEY).isin(keys)).collect()}
+        found = {r[KEY]: r for r in self.store.get(keys).collect()}
         return [self._entry(found.get(k), t, m) for k, (t, m) in zip(keys, requests)]
 
     @staticmethod
@@ -99,7 +99,7 @@ class EmbeddingsCache:
     def get_by_key(self, key: str) -> CachedEmbedding | None:
         if not self.store.exists():
             return None
-        rows = self.store.read().where(F.col(KEY) == key).limit(1).collect()
+        rows = self.store.get([key]).collect()
         return self._entry(rows[0] if rows else None, None, None)
 
     def lookup_frame(self, requests: DataFrame, text: str, model: str | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ class EmbeddingsCache:
         keys = [self.key(t, m) for t, m in requests]
         if not keys or not self.store.exists():
             return [False] * len(keys)
-        found = {r[0] for r in self.store.read().where(F.col(KEY).isin(keys)).select(KEY).collect()}
+        found = {r[0] for r in self.store.get(keys).select(KEY).collect()}
         return [k in found for k in keys]
 
     def exists(self, text: str, model: str | None = None) -> bool:

@@ -60,7 +60,7 @@ def run(argv: list[str], session: Callable[[], SparkSession] = _session) -> str:
         schema = SearchSchema.from_yaml_file(a.file)
         return f"Schema {schema.index.name} is valid." if a.action == "validate" else json.dumps(_camel(schema.to_dict()), indent=2, ensure_ascii=False)
     if a.action == "list":
-        return "\n".join(Catalog(f"{a.warehouse}/catalog").names())
+        return "\n".join(Catalog(f"{a.warehouse}/catalog", session()).names())
     if a.action == "create":
         if bool(a.schema) == bool(a.name or a.prefix or a.field):
             raise ValueError("give --schema, or --name, --prefix and --field")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vecframe.mapping import map_rows
 from vecframe.plans import queries as Q
 from vecframe.plans.planner import KEY, Planner
+from vecframe.runtime import numbered
 from vecframe.schema import IndexDefinition, SearchSchema, Storage
 from vecframe.sources.store import EXPIRES, INGESTED, Catalog, DocumentStore, starts_with
 
@@ -54,6 +55,22 @@ def _camel(name: str) -> str:
     return head + "".join(x[:1].upper() + x[1:] for x in rest) if head else name
 
 
+def _stored(f: T.StructField, columns: dict[str, T.DataType]) -> str:
+    """The column that holds a field: its own name, unless that is taken by another type."""
+    return f.name if columns.get(f.name, f.dataType) == f.dataType else f"{f.name}__{re.sub(r'[^a-z]+', '_', f.dataType.simpleString()).strip('_')}"
+
+
+def _derived(f: Any, t: T.StructField) -> Column:
+    """A field's value from the document's JSON, as :meth:`SearchIndex._rows` takes it from the document."""
+    paths = [f.name] if f.name.startswith("$") else [f"$['{n}']" for n in dict.fromkeys([f.name, f.column, _camel(f.name)])]
+    raw = F.coalesce(*[F.get_json_object("_doc", p) for p in paths])
+    if f.kind in ("numeric", "vector"):
+        return (raw.try_cast("double") if f.kind == "numeric" else F.from_json(raw, t.dataType)).alias(t.name)
+    if f.kind == "tag":
+        return F.coalesce(F.array_join(F.from_json(raw, "array<string>"), f.separator), raw)
+    return raw
+
+
 def _document(doc: Any) -> dict[str, Any]:
     plain = asdict(doc) if is_dataclass(doc) and not isinstance(doc, type) else doc
     if not isinstance(plain, dict):
@@ -76,13 +93,16 @@ def _path_steps(path: str) -> list[str | int]:
 
 
 class SearchIndex:
-    """Documents live in one store below ``warehouse``; an index holds those whose keys begin with one of its prefixes."""
+    """Documents of a kind share one store below ``warehouse``; an index holds those whose keys begin with one of its prefixes.
+
+    A document that is loaded gets the columns of every index that holds its key, whichever it came through; a new index
+    derives its columns for the documents that are there, unless it skips the initial scan.
+    """
 
     def __init__(self, spark: SparkSession, warehouse: str, schema: SearchSchema) -> None:
         self.spark, self.warehouse, self.schema = spark, warehouse, schema
-        self.catalog = Catalog(f"{warehouse}/catalog")
-        kind = "json" if schema.index.storage is Storage.JSON else "hash"
-        self.store = DocumentStore(spark, f"{warehouse}/{kind}/{schema.index.prefix.encode().hex()}")
+        self.catalog = Catalog(f"{warehouse}/catalog", spark)
+        self.store = DocumentStore(spark, f"{warehouse}/{schema.index.storage.value}")
 
     # lifecycle
 
@@ -104,8 +124,20 @@ class SearchIndex:
         for f in self.schema.of_kind("vector"):
             f.datatype.width  # noqa: B018 - rejects types that can't be queried
         self.catalog.put(self.name, {"schema": self.schema.to_dict(), "created_at": time.time(), "used_at": time.time()})
+        if not self.schema.index.skip_initial_scan:
+            self._scan()
         return True
 
+    def _scan(self) -> None:
+        """Give the documents that are there the columns of this index."""
+        columns = self.store.columns()
+        fields = [(f, t) for f, t in zip(self.schema.fields, self.schema.struct().fields[1:]) if _stored(t, columns) not in columns]
+        if "_doc" not in columns or not fields:
+            return
+        rows = self.store.read().where(starts_with(F.col(KEY), self.schema.index.prefixes) & F.col("_doc").isNotNull())
+        if rows.take(1):
+            self.store.put(rows.withColumns({_stored(t, columns): _derived(f, t) for f, t in fields}))
+
     def exists(self) -> bool:
         return self.catalog.get(self.name) is not None
 
@@ -129,11 +161,11 @@ class SearchIndex:
 
     @staticmethod
     def list(spark: SparkSession, warehouse: str) -> DataFrame:
-        return spark.createDataFrame([(n,) for n in Catalog(f"{warehouse}/catalog").names()], "name string")
+        return spark.createDataFrame([(n,) for n in Catalog(f"{warehouse}/catalog", spark).names()], "name string")
 
     @classmethod
     def from_existing(cls, spark: SparkSession, warehouse: str, name: str) -> SearchIndex:
-        entry = Catalog(f"{warehouse}/catalog").get(name)
+        entry = Catalog(f"{warehouse}/catalog", spark).get(name)
         if entry is None:
             raise ValueError(f"no index {name}")
         return cls(spark, warehouse, SearchSchema.from_dict(entry["schema"]))
@@ -177,15 +209,34 @@ class SearchIndex:
             rows.append((k, plain))
         return self._rows(rows)
 
+    def _schemas(self) -> list[SearchSchema]:
+        """This schema and those of the other indexes over the same store."""
+        others = [SearchSchema.from_dict(e["schema"]) for n in self.catalog.names() if n != self.name and (e := self.catalog.get(n))]
+        return [self.schema, *(o for o in others if o.index.storage is self.schema.index.storage)]
+
     def _rows(self, rows: list[tuple[str, dict[str, Any]]]) -> DataFrame:
-        """Documents as rows: the schema's fields as columns, the whole document as JSON beside them."""
-        fields = self.schema.fields
-        structure = T.StructType([*self.schema.struct().fields, T.StructField("_doc", T.StringType())])
+        """Documents as rows: the fields of every index that holds them as columns, the whole document as JSON beside them."""
+        columns = self.store.columns()
+        held = []
+        for schema in self._schemas():
+            for f, t in zip(schema.fields, schema.struct().fields[1:]):
+                if any(key.startswith(schema.index.prefixes) for key, _ in rows) and not any(f == g and t == u for _, g, u in held):
+                    held.append((schema.index.prefixes, f, t))
+        names: dict[str, T.DataType] = {}
+        places = []
+        for prefixes, f, t in held:
+            name = _stored(t, columns | names)
+            names[name] = t.dataType
+            places.append((prefixes, f, name))
         out = []
         for key, doc in rows:
-            values = [self._value(f, doc) for f in fields]
-            out.append((key, *values, json.dumps({k: v for k, v in doc.items() if v is not None}, ensure_ascii=False, default=str)))
-        return self.spark.createDataFrame(out, structure)
+            values = dict.fromkeys(names)
+            for prefixes, f, name in places:
+                if key.startswith(prefixes) and values[name] is None:
+                    values[name] = self._value(f, doc)
+            out.append((key, *values.values(), json.dumps({k: v for k, v in doc.items() if v is not None}, ensure_ascii=False, default=str)))
+        structure = [T.StructField(KEY, T.StringType(), False), *(T.StructField(n, t) for n, t in names.items()), T.StructField("_doc", T.StringType())]
+        return self.spark.createDataFrame(out, T.StructType(structure))
 
     @staticmethod
     def _value(f, doc: dict[str, Any]) -> Any:
@@ -207,40 +258,40 @@ class SearchIndex:
             return f.separator.join(map(str, at))
         return at if isinstance(at, str) else json.dumps(at, ensure_ascii=False)
 
-    def load_json(self, docs: Any, key: Callable | None = None, id: Callable | None = None) -> int:  # noqa: A002
-        """Store whole documents, each in the place of one of its key."""
-        return self._load(docs, Storage.JSON, key, id)
+    def load_json(self, docs: Any, key: Callable | None = None, id: Callable | None = None, keys: bool = False) -> int | list[str]:  # noqa: A002
+        """Store whole documents, each in the place of one of its key. Their number, or, if asked for, their keys in order."""
+        return self._load(docs, Storage.JSON, key, id, keys)
 
-    def load_hash(self, docs: Any, key: Callable | None = None, id: Callable | None = None) -> int:  # noqa: A002
+    def load_hash(self, docs: Any, key: Callable | None = None, id: Callable | None = None, keys: bool = False) -> int | list[str]:  # noqa: A002
         """Set the fields of documents that are not null; other fields of a stored document stay."""
-        return self._load(docs, Storage.HASH, key, id)
+        return self._load(docs, Storage.HASH, key, id, keys)
 
-    def _load(self, docs: Any, storage: Storage, key, id) -> int:  # noqa: A002
+    def _load(self, docs: Any, storage: Storage, key, id, keys: bool) -> int | list[str]:  # noqa: A002
         self._guard(storage)
         many = list(docs) if isinstance(docs, (list, tuple)) else [docs]
-        self.load_frame(self._frame(many, key, id))
-        return len(many)
+        rows = self._frame(many, key, id)
+        self.load_frame(rows)
+        return [r[0] for r in rows.select(KEY).collect()] if keys else len(many)
 
     def load_frame(self, rows: DataFrame, ttl: float | None = None) -> None:
         """Load a DataFrame with a ``_key`` column: the way for large loads, without the driver."""
+        columns = self.store.columns()
+        rows = rows.select([F.col(f.name).alias(_stored(f, columns)) for f in rows.schema.fields])
         if self.schema.index.storage is Storage.JSON:
             self.store.replace(rows, ttl=ttl)
-            return
-        if "_doc" in rows.columns and self.store.exists() and "_doc" in self.store.read().columns:
-            old = self.store.read().select(KEY, F.col("_doc").alias("_old"))
-            merged = F.to_json(F.map_concat(F.map_filter(F.from_json("_old", "map<string,string>"), lambda k, v: ~F.map_contains_key(F.from_json("_doc", "map<string,string>"), k)), F.from_json("_doc", "map<string,string>")))
-            rows = rows.join(old, KEY, "left").withColumn("_doc", F.when(F.col("_old").isNull(), F.col("_doc")).otherwise(merged)).drop("_old")
-        self.store.merge(rows, ttl=ttl)
+        else:
+            self.store.merge(rows, ttl=ttl, documents="_doc")
 
     def fetch(self, key: str | None = None, id: str | None = None) -> dict[str, Any] | None:  # noqa: A002
         row = self._one(self.key_of(key=key, id=id))
         if row is None:
             return None
-        doc = json.loads(row["_doc"]) if row["_doc"] else {}
-        return doc
+        if row.asDict().get("_doc"):
+            return json.loads(row["_doc"])
+        return {k: v for k, v in row.asDict(recursive=True).items() if v is not None and not k.startswith("_")}  # loaded as a table
 
     def _one(self, key: str):
-        rows = self.store.read().where(F.col(KEY) == key).limit(1).collect()
+        rows = self.store.get([key]).collect()
         return rows[0] if rows else None
 
     def delete(self, key: str | None = None, id: str | None = None) -> bool:  # noqa: A002
@@ -283,14 +334,14 @@ class SearchIndex:
     def documents(self) -> DataFrame:
         """The rows of this index."""
         entry = self._entry()
-        rows = self.store.read()
-        for f in self.schema.struct().fields:
-            if f.name not in rows.columns:
-                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        rows = rows.where(starts_with(F.col(KEY), self.schema.index.prefixes))
+        rows = self.store.read().where(starts_with(F.col(KEY), self.schema.index.prefixes))
         if self.schema.index.skip_initial_scan:
             rows = rows.where(F.col(INGESTED) >= F.timestamp_seconds(F.lit(entry["created_at"])))
-        return rows.drop(EXPIRES, INGESTED)
+        columns = {f.name: f.dataType for f in rows.schema.fields}
+        own = self.schema.struct().fields[1:]
+        mine = [(F.col(_stored(f, columns)) if _stored(f, columns) in columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in own]
+        others = [n for n in columns if n not in (KEY, EXPIRES, INGESTED) and n not in {f.name for f in own} | {_stored(f, columns) for f in own}]
+        return rows.select(KEY, *mine, *others)
 
     def planner(self) -> Planner:
         return Planner(self.schema, self.documents())
@@ -307,26 +358,23 @@ class SearchIndex:
         return self.planner().count(query)
 
     def batches(self, query: Q.Query | Q.Aggregation, size: int | None = None) -> Iterator[DataFrame]:
-        """Pages of one snapshot of the result. Rows are numbered once, so that a page is a filter and not a new sort."""
+        """Pages of one snapshot of the result, which is written once. Its rows are numbered, so that a page is a filter."""
         if size is not None and size <= 0:
             raise ValueError("the batch size must be positive")
         step = size or query.page.limit
         plan = self.planner()
         rows = plan.aggregated(query) if isinstance(query, (Q.AggregationQuery, Q.AggregateHybridQuery)) else plan.ranked(query)
         top = query.page.offset + query.page.limit if isinstance(query, (Q.VectorQuery, Q.MultiVectorQuery)) else None
-        snapshot = rows.persist()
-        try:
-            total = snapshot.count()
-            end = total if top is None else min(total, top)
-            at = query.page.offset
-            if at >= end or step == 0:
-                yield snapshot.limit(0)
-                return
-            while at < end:
-                yield (snapshot.offset(at) if at else snapshot).limit(min(step, end - at))
-                at += step
-        finally:
-            snapshot.unpersist()
+        if top is not None:
+            rows = rows.limit(top)
+        pages = numbered(rows, "_place")
+        end, at = pages.count(), query.page.offset
+        if at >= end or step == 0:
+            yield pages.limit(0).drop("_place")
+            return
+        while at < end:
+            yield pages.where((F.col("_place") >= at) & (F.col("_place") < at + step)).orderBy("_place").drop("_place")
+            at += step
 
 
 def inline_schema(name: str, prefixes: list[str], storage: str, fields: list[str]) -> SearchSchema:

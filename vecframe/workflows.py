@@ -114,17 +114,20 @@ class MessageHistory:
         return f"{self.prefix}{sha256(session)}:{sequence:020d}"
 
     def _next(self, session: str) -> int:
-        top = self.index.documents().where(F.col("sessionId") == session).agg(F.max("sequence")).first()[0]
-        return int(top or 0) + 1
+        # the keys of a session begin alike and lie sorted, so other row groups are skipped
+        mine = self.index.documents().where(F.col(KEY).startswith(f"{self.prefix}{sha256(session)}:"))
+        return int(mine.agg(F.max("sequence")).first()[0] or 0) + 1
 
     def append(self, session: str, role: str, content: str, metadata: Any = None, timestamp: int | None = None, **more: Any) -> Message:
         session, role, content = _text(session, "the session").strip(), _text(role, "the role").strip(), _text(content, "the content").strip()
-        n = self._next(session)
+        self.index._entry()
         at = int(time.time() * 1000) if timestamp is None else int(timestamp)
-        m = Message(session, role, content, at, metadata, n, self.key(session, n))
-        doc = {"sessionId": session, "role": role, "content": content, "metadata": None if metadata is None else json.dumps(metadata), "timestamp": at, "sequence": n} | more
-        self.index.load_frame(self.index._rows([(m.key, doc)]))
-        return m
+        doc = {"sessionId": session, "role": role, "content": content, "metadata": None if metadata is None else json.dumps(metadata), "timestamp": at} | more
+        while True:  # another writer may take the number first
+            n = self._next(session)
+            m = Message(session, role, content, at, metadata, n, self.key(session, n))
+            if self.index.store.insert(self.index._rows([(m.key, doc | {"sequence": n})]), m.key):
+                return m
 
     def append_frame(self, rows: DataFrame, order: list[Column]) -> None:
         """Many messages at once: columns sessionId, role, content, timestamp and those of the schema that are given."""
