@@ -10,17 +10,18 @@ from vecframe.plans.querylang import QuerySyntaxError, parse
 
 
 @pytest.mark.parametrize("node, text", [
-    (Filter.tag("genre").isin("science fiction", "young-adult"), "@genre:{science\\ fiction|young\\-adult}"),
-    (Filter.numeric("rating").between(4.5, 9.25), "@rating:[4.5 9.25]"),
-    (Filter.numeric("rating").gt(4.5), "@rating:[(4.5 +inf]"),
-    (Filter.numeric("rating").lt(9.25), "@rating:[-inf (9.25]"),
-    (Filter.text("title").match("neo-noir"), "@title:neo\\-noir"),
-    (Filter.text("title").phrase('hello "you"'), '@title:"hello \\"you\\""'),
-    (Filter.text("title").prefix("vec"), "@title:vec*"),
-    (Filter.geo("place").within_radius(-73.9857, 40.7484, 5, "km"), "@place:[-73.9857 40.7484 5 km]"),
-    (Filter.tag("genre").eq("science fiction") & (Filter.numeric("rating").gte(8) | Filter.text("title").phrase("blade runner")) & ~Filter.geo("place").within_radius(-73.9857, 40.7484, 25, "mi"),
-     '@genre:{science\\ fiction} (@rating:[8 +inf] | @title:"blade runner") -@place:[-73.9857 40.7484 25 mi]'),
-    (~~Filter.tag("a").eq("b"), "--@a:{b}"),
+    (~~Filter.tag("shelf").eq("north"), "--@shelf:{north}"),
+    (Filter.geo("harbour").within_radius(12.5, -3.25, 40, "m"), "@harbour:[12.5 -3.25 40 m]"),
+    (Filter.text("label").prefix("over"), "@label:over*"),
+    (Filter.text("label").match("half-open"), "@label:half\\-open"),
+    (Filter.text("label").phrase('the "third" door'), '@label:"the \\"third\\" door"'),
+    (Filter.numeric("depth").lt(-2), "@depth:[-inf (-2]"),
+    (Filter.numeric("depth").lte(-2), "@depth:[-inf -2]"),
+    (Filter.numeric("depth").gt(0.125), "@depth:[(0.125 +inf]"),
+    (Filter.numeric("depth").between(1, 3.5, False), "@depth:[(1 3.5]"),
+    (Filter.tag("shelf").isin("upper left", "semi-dry", "x"), "@shelf:{upper\\ left|semi\\-dry|x}"),
+    ((Filter.text("label").match("oak") | Filter.numeric("depth").lte(7)) & ~Filter.tag("shelf").eq("upper left") & Filter.geo("harbour").within_radius(0, 0, 1.5, "ft"),
+     "(@label:oak | @depth:[-inf 7]) -@shelf:{upper\\ left} @harbour:[0 0 1.5 ft]"),
 ])
 def test_rendering_and_back(node, text):
     assert node.render() == text
@@ -28,8 +29,8 @@ def test_rendering_and_back(node, text):
 
 
 @pytest.mark.parametrize("bad", [
-    lambda: Filter.tag("genre").isin(), lambda: Filter.tag("genre").eq(" "), lambda: Filter.numeric("x").between(10, 5), lambda: Filter.numeric("x").gt(math.nan),
-    lambda: Filter.geo("x").within_radius(1, 2, 0, "m"), lambda: Filter.geo("x").within_radius(1, 2, 1, "league"), lambda: Filter.all(Filter.tag("a").eq("b")), lambda: Filter.text("").match("x"),
+    lambda: Filter.numeric("depth").lt(math.inf * 0), lambda: Filter.numeric("depth").between(3, 2.5), lambda: Filter.tag("shelf").eq("\t"), lambda: Filter.tag("shelf").isin(),
+    lambda: Filter.geo("x").within_radius(4, 5, -1, "km"), lambda: Filter.geo("x").within_radius(1, 2, 1, "league"), lambda: Filter.all(Filter.tag("a").eq("b")), lambda: Filter.text("").match("x"),
 ])
 def test_rejected(bad):
     with pytest.raises(ValueError):

@@ -102,15 +102,24 @@ class EmbeddingsCache:
         rows = self.store.get([key]).collect()
         return self._entry(rows[0] if rows else None, None, None)
 
-    def lookup_frame(self, requests: DataFrame, text: str, model: str | None = None) -> DataFrame:
-        """Every request with its embedding and metadata, null where nothing is stored."""
+    def lookup_frame(self, requests: DataFrame, text: str, model: str | None = None, now: Column | None = None) -> DataFrame:
+        """Every request with its embedding and metadata, null where nothing is stored or what is stored has expired."""
         m = F.col(model) if model else None
         asked = requests.withColumn(KEY, self.key_column(F.col(text), m))
-        stored = self.store.read().select(KEY, F.col("input").alias("_input"), F.col("model_name").alias("_model"), "embedding", "metadata")
+        stored = self.store.read(now).select(KEY, F.col("input").alias("_input"), F.col("model_name").alias("_model"), "embedding", "metadata")
         same = (F.col("_input") == F.col(text)) & (F.col("_model") == (F.coalesce(m, F.lit("")) if model else F.lit("")))
         hit = asked.join(stored, KEY, "left")
         return hit.withColumn("embedding", F.when(same, F.col("embedding"))).withColumn("metadata", F.when(same, F.col("metadata"))).drop("_input", "_model")
 
+    def exists_frame(self, requests: DataFrame, text: str, model: str | None = None) -> DataFrame:
+        """The requests for which an embedding is stored."""
+        return self.lookup_frame(requests, text, model).where("embedding is not null").select(*requests.columns)
+
+    def delete_frame(self, requests: DataFrame, text: str, model: str | None = None) -> int:
+        """Delete what is stored for the requests; how many entries were there."""
+        asked = requests.select(self.key_column(F.col(text), F.col(model) if model else None).alias(KEY))
+        return self.store.delete_frame(asked)
+
     def exists_many(self, requests: Sequence[tuple[str, str | None]]) -> list[bool]:
         keys = [self.key(t, m) for t, m in requests]
         if not keys or not self.store.exists():
@@ -211,8 +220,8 @@ class SemanticCache:
         r = rows[0]
         return CacheHit(r["prompt"], r["response"], r["distance"], json.loads(r["metadata"]) if r["metadata"] else None, r[KEY])
 
-    def check_frame(self, requests: DataFrame, request_id: str, vector: str, filter: Node | None = None) -> DataFrame:  # noqa: A002
-        """The nearest stored entry within the threshold of every request that has one."""
+    def check_frame(self, requests: DataFrame, request_id: str, vector: str, filter: Node | None = None, k: int = 1) -> DataFrame:  # noqa: A002
+        """The ``k`` nearest stored entries within the threshold of every request that has one."""
         plan = self.index.planner()
-        near = plan.nearest_join(requests, request_id, vector, "embedding", 1, self.threshold, filter)
+        near = plan.nearest_join(requests, request_id, vector, "embedding", k, self.threshold, filter)
         return near.join(plan.df.select(KEY, "prompt", "response", "metadata"), KEY)

@@ -29,16 +29,27 @@ def analyze(text: str, stopwords: tuple[str, ...] | None = ()) -> list[str]:
 # predicates over the words of a text, as words() gives them
 
 
+def _piece(text: str) -> str:
+    """A piece of a text as the words stand there: lower case, one space for all between two words."""
+    import regex
+
+    return regex.sub(_BETWEEN, " ", text.lower())
+
+
 def has_prefix(w: Column, prefix: str) -> Column:
-    return w.contains(" " + prefix.lower())
+    """Words of which the last begins so; ``neo-no`` is the word ``neo`` and one that begins with ``no``."""
+    p = _piece(prefix)
+    return w.contains(" " + p.lstrip()) if p.strip() else F.lit(False)
 
 
 def has_suffix(w: Column, suffix: str) -> Column:
-    return w.contains(suffix.lower() + " ")
+    p = _piece(suffix)
+    return w.contains(p.rstrip() + " ") if p.strip() else F.lit(False)
 
 
 def has_infix(w: Column, infix: str) -> Column:
-    return w.contains(infix.lower())
+    p = _piece(infix)
+    return w.contains(p) if p.strip() else F.lit(False)
 
 
 def has_fuzzy(w: Column, term: str, distance: int) -> Column:

@@ -15,9 +15,21 @@ from vecframe.functions.expressions import expression
 from vecframe.plans import queries as Q
 from vecframe.plans.filters import WORDS, Affix, Fuzzy, Node, Phrase, Term, text_fields
 from vecframe.plans.querylang import parse, rank_terms
+from vecframe.runtime import broadcast_if, numbered
 from vecframe.schema import Algorithm, Metric, SearchSchema, VectorField
 
 KEY = "_key"
+#: Rows that a top-k may hold in a task.
+TOP_ROWS = 200_000
+#: Reducers of the user's own, by name; see :func:`register_reducer`.
+_REDUCERS: dict[str, Callable[..., Column]] = {}
+
+
+def register_reducer(name: str, make: Callable[..., Column]) -> None:
+    """Make a reducer of a name; ``make`` gets the columns of its properties and its constants, and gives an aggregate."""
+    if not name or name.upper() != name:
+        raise ValueError("the name of a reducer is in capitals")
+    _REDUCERS[name] = make
 
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
@@ -79,6 +91,10 @@ class Planner:
 
     @staticmethod
     def _page(df: DataFrame, page: Q.Page) -> DataFrame:
+        """A slice of ordered rows; one that reaches far is cut from numbered rows, for a task holds a top-k in memory."""
+        if page.offset + page.limit > TOP_ROWS:
+            rows = numbered(df, "_place").where((F.col("_place") >= page.offset) & (F.col("_place") < page.offset + page.limit))
+            return rows.orderBy("_place").drop("_place")
         return (df.offset(page.offset) if page.offset else df).limit(page.limit)
 
     # search
@@ -110,7 +126,7 @@ class Planner:
         rows = self.where(node).withColumn(alias, vectors.distance_to(f.metric, F.col(f.column), vector)).where(F.col(alias).isNotNull() & ~F.isnan(alias))
         if isinstance(query, Q.RangeQuery):
             return rows.where(F.col(alias) <= F.lit(query.threshold)).orderBy(alias, self.key)
-        return rows.orderBy(alias, self.key).limit(query.top_k)
+        return self._page(rows.orderBy(alias, self.key), Q.Page(0, query.top_k))
 
     def _multi(self, query: Q.MultiVectorQuery) -> DataFrame:
         parts = [self.vector_field(v.field, v.vector, query.runtime, Metric.COSINE) for v in query.vectors]
@@ -119,12 +135,12 @@ class Planner:
         for s, (f, v) in zip(scores, parts):
             rows = rows.withColumn(s, vectors.distance_to(f.metric, F.col(f.column), v))
         slim = rows.select(self.key, *scores)
-        best = [slim.where(F.col(s).isNotNull()).orderBy(s, self.key).limit(query.top_k).select(self.key, s) for s in scores]
+        best = [self._page(slim.where(F.col(s).isNotNull()).orderBy(s, self.key), Q.Page(0, query.top_k)).select(self.key, s) for s in scores]
         joined = reduce(lambda a, b: a.join(b, self.key), best)
         total = reduce(lambda a, b: a + b, [F.col(s) * F.lit(v.weight) for s, v in zip(scores, query.vectors)])
         ranked = joined.withColumn(query.score_alias, total)
         if query.return_fields:
-            ranked = F.broadcast(ranked).join(self.df.select(*dict.fromkeys([self.key, *[(self.schema.find(n).column if self.schema.find(n) else n) for n in query.return_fields if n != "id"]])), self.key)
+            ranked = broadcast_if(ranked, query.top_k, 100).join(self.df.select(*dict.fromkeys([self.key, *[(self.schema.find(n).column if self.schema.find(n) else n) for n in query.return_fields if n != "id"]])), self.key)
         return self._project(ranked.orderBy(query.score_alias, *scores, self.key), query.return_fields, query.score_alias)
 
     # counts
@@ -171,6 +187,8 @@ class Planner:
             rows = rows.withColumn(a.alias, expression(a.expression, resolve))
             applied.append(a.alias)
         if p.group_by is not None:
+            if any(r.name == "RANDOM_SAMPLE" for r in p.group_by.reducers):
+                rows = rows.withColumn("_random", F.rand())
             keys = [resolve(n).alias(n) for n in p.group_by.properties]
             aggs = [reducer(r, named).alias(r.alias) for r in p.group_by.reducers]
             rows = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
@@ -215,10 +233,12 @@ def reducer(r: Q.Reducer, named: Callable[[str], str]) -> Column:
     if r.name == "COUNT_DISTINCT":
         return F.count_distinct(prop())
     if r.name == "COUNT_DISTINCTISH":
-        return F.approx_count_distinct(prop())
+        return F.approx_count_distinct(prop(), 0.01)
     if r.name == "TOLIST":
         return F.array_sort(F.collect_set(prop()))
     if r.name == "QUANTILE":
+        if value(2) is not None:  # a stated error: a sketch of bounded size instead of the group's values
+            return F.percentile_approx(number(), float(value(1)), max(1, int(1 / float(value(2)))))
         return F.expr(f"percentile_disc({float(value(1))!r}) within group (order by try_cast(`{named(value(0))}` as double))")
     if r.name == "STDDEV":
         return F.stddev_samp(number())
@@ -228,10 +248,20 @@ def reducer(r: Q.Reducer, named: Callable[[str], str]) -> Column:
             return F.max_by(prop(), by) if str(value(3) or "ASC").upper() == "DESC" else F.min_by(prop(), by)
         return F.first(prop(), ignorenulls=True)
     if r.name == "RANDOM_SAMPLE":
-        return F.slice(F.shuffle(F.collect_list(prop())), 1, int(value(1)))
+        return _sampled(prop(), int(value(1)))
+    if r.name in _REDUCERS:
+        return _REDUCERS[r.name](*(resolve(a) if isinstance(a, str) and a.startswith("@") else a for a in r.args))
     raise ValueError(f"unknown reducer: {r.name}")
 
 
+def _sampled(value: Column, n: int) -> Column:
+    """``n`` values of a group at random, fewer if it has fewer: those of the smallest numbers of ``_random``, in a heap of that size."""
+    from pyspark.sql.internal import InternalFunction
+
+    drawn = F.struct(F.col("_random"), value.alias("v"))
+    return InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.when(value.isNotNull(), drawn), F.lit(n), F.lit(True))["v"]
+
+
 def top_per_key(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; Spark limits each partition before it shuffles."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k)

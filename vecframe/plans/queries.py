@@ -219,10 +219,13 @@ class Reducer:
         return cls(name, ("@" + _text(prop, "the property").removeprefix("@"),), alias)
 
     @classmethod
-    def quantile(cls, prop: str, q: float, alias: str) -> Reducer:
+    def quantile(cls, prop: str, q: float, alias: str, error: float | None = None) -> Reducer:
+        """Exact, which holds a group's different values in one task; with an ``error`` of rank by a sketch of bounded size."""
         if not 0 <= q <= 1:
             raise ValueError("a quantile lies between 0 and 1")
-        return cls("QUANTILE", ("@" + _text(prop, "the property").removeprefix("@"), q), alias)
+        if error is not None and not 0 < error < 1:
+            raise ValueError("an error lies between 0 and 1")
+        return cls("QUANTILE", ("@" + _text(prop, "the property").removeprefix("@"), q, *([] if error is None else [error])), alias)
 
 
 @dataclass(frozen=True)

@@ -7,18 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.caches import EmbeddingsCache
-from vecframe.functions import text, vectors
+from vecframe import queries_index
+from vecframe.functions import text
+from vecframe.functions.vectors import encode
 from vecframe.operators import upsert
-from vecframe.operators.nearest import nearest_join, nearest_of_few
 from vecframe.plans import queries as Q
 from vecframe.plans.filters import Filter
-from vecframe.plans.planner import Planner
+from vecframe.plans.planner import Planner, register_reducer
 from vecframe.plans.querylang import parse, rank_terms
 from vecframe.rerankers import lexical_score, rerank_frame, score_column
-from vecframe.runtime import read_table, trim_blank
-from vecframe.schema import Algorithm, GeoField, IndexDefinition, Metric, NumericField, SearchSchema, TagField, TextField, VectorField
-from vecframe.workflows import recent, sequenced
+from vecframe.runtime import read_table
+from vecframe.schema import Algorithm, GeoField, IndexDefinition, Metric, NumericField, SearchSchema, TagField, TextField, VectorField, VectorType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,52 +128,6 @@ def _agg_hybrid(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_hybrid(s, d).aggregated(Q.AggregateHybridQuery(h, p)), "mean")
 
 
-def _router(s: SparkSession, d: str) -> DataFrame:
-    """Every embedding to the nearest of the labels' centroids, within a threshold."""
-    e = read_table(s, d, "embeddings")
-    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    routes = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("centroid"))
-    near = nearest_of_few(e, "vec_id", "embedding", routes, "label", "centroid", Metric.COSINE, 64, 1, 0.9)
-    return _rounded(near, "distance")
-
-
-def _cache_check(s: SparkSession, d: str) -> DataFrame:
-    e = read_table(s, d, "embeddings")
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    stored = e.where("vec_id % 50 <> 0")
-    return _rounded(nearest_join(asked, "query_id", "embedding", stored, "vec_id", "embedding", Metric.L2, 64, 1, 1.5), "distance")
-
-
-def _cache(s: SparkSession) -> EmbeddingsCache:
-    return EmbeddingsCache(s, "/nowhere", "docs")
-
-
-def _cached(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").where("text is not null and text <> ''")
-    stored = docs.join(read_table(s, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    rows = stored.select(_cache(s).key_column(F.col("text"), F.lit("m1")).alias("_key"), "vec_id")
-    return upsert.last_of_each(rows, "_key", F.col("vec_id"))
-
-
-def _asked(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").where("text is not null and text <> ''")
-    return docs.select("doc_id", (F.length("text") > 400).alias("long"), _cache(s).key_column(F.col("text"), F.lit("m1")).alias("_key"))
-
-
-def _history(s: SparkSession, d: str) -> DataFrame:
-    m = read_table(s, d, "history_messages").dropDuplicates(["message_id"]).withColumn("session", trim_blank(F.col("session_id")))
-    return sequenced(m, "session", [F.col("message_id")])
-
-
-def _relevant(s: SparkSession, d: str) -> DataFrame:
-    """The five nearest messages of every session within a threshold, equal distances by the newer."""
-    e = read_table(s, d, "embeddings").select("vec_id", "embedding")
-    near = e.select("vec_id", F.round(vectors.distance_to(Metric.COSINE, F.col("embedding"), _question(s, d)), 6).alias("distance")).where("distance <= 0.95")
-    m = _history(s, d).withColumn("vec_id", F.col("message_id") % 500).join(near, "vec_id")
-    ranked = m.selectExpr("session", "message_id", "distance", "row_number() over (partition by session order by distance, sequence desc) as place")
-    return ranked.where("place <= 5")
-
-
 def _old_new(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = read_table(s, d, "part")
     old = p.where("p_size <= 40").select("p_partkey", "p_brand", "p_size")
@@ -189,11 +142,27 @@ def _rerank(s: SparkSession, d: str) -> DataFrame:
 
 
 R = Q.Reducer
+_MATH = {
+    "up": "ceil(@p_retailprice / 7)", "down": "floor(@p_retailprice / 7)", "root": "sqrt(@p_size)", "natural": "log(@p_size)", "binary": "log2(@p_size)", "grown": "exp(@p_size / 50)",
+    "power": "pow(@p_size, 2) + @p_size ^ 0.5", "far": "abs(@p_size - 25)", "none": "sqrt(@p_size - 1000000) / 0",
+}
+
+
+def _knn64(s: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of a field of doubles, asked with the packed bytes of the query vector."""
+    schema = _schema(NumericField("label"), VectorField("embedding", dims=64, metric=Metric.COSINE, datatype=VectorType.FLOAT64))
+    plan = Planner(schema, read_table(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id")
+    return _rounded(plan.search(Q.VectorQuery("embedding", encode(_question(s, d), VectorType.FLOAT64), 10, None, ("label",))), "vector_distance")
+
+
+def _custom(s: SparkSession, d: str) -> DataFrame:
+    register_reducer("SPREAD", lambda x: F.max(x) - F.min(x))
+    return _agg(_events, "*", ("event_type",), R("SPREAD", ("@value",), "spread"), round_=("spread",))(s, d)
 
 
 def queries() -> dict[str, Query]:
     tag, num, txt, geo = Filter.tag, Filter.numeric, Filter.text, Filter.geo
-    return {
+    return queries_index.queries() | {
         "filter_tag_eq": _filtered(_docs, tag("lang").eq("en")),
         "filter_tag_in": _filtered(_docs, tag("lang").isin("de", "fr")),
         "filter_tag_not": _filtered(_docs, ~tag("lang").eq("en")),
@@ -209,6 +178,8 @@ def queries() -> dict[str, Query]:
         "filter_text_match": _filtered(_docs, txt("text").match("cache")),
         "filter_text_prefix": _filtered(_docs, txt("text").prefix("thresh")),
         "filter_text_phrase": _filtered(_docs, txt("text").phrase("vector index")),
+        "filter_text_prefix_of_words": _filtered(_docs, txt("text").prefix("time-z")),
+        "filter_text_suffix": _filtered(_docs, txt("text").match("*shold")),
         "filter_geo_radius_km": _filtered(_customers, geo("place").within_radius(10, 20, 2500, "km")),
         "filter_geo_radius_mi": _filtered(_customers, geo("place").within_radius(-70, 40, 1200, "mi")),
         "filter_geo_radius_m": _filtered(_customers, geo("place").within_radius(10, 20, 1500000, "m")),
@@ -230,6 +201,7 @@ def queries() -> dict[str, Query]:
         "knn_cosine": _knn(Metric.COSINE),
         "knn_l2": _knn(Metric.L2),
         "knn_ip": _knn(Metric.IP),
+        "knn_float64": _knn64,
         "knn_filtered": _knn(Metric.COSINE, 10, num("label").between(2, 5)),
         "knn_paged": _knn(Metric.COSINE, 30, None, Q.Page(10, 10)),
         "range_cosine": _range(Metric.COSINE, 0.85),
@@ -241,7 +213,13 @@ def queries() -> dict[str, Query]:
         "agg_sum_avg": _agg(_orders, "@o_totalprice:[1000 +inf]", ("o_orderstatus",), R.of("SUM", "o_totalprice", "total"), R.of("AVG", "o_totalprice", "mean"), round_=("mean",)),
         "agg_min_max": _agg(_events, "*", ("event_type",), R.of("MIN", "value", "low"), R.of("MAX", "value", "high")),
         "agg_count_distinct": _agg(_events, "*", ("event_type",), R.of("COUNT_DISTINCT", "user_id", "users")),
-        "agg_count_distinctish": lambda s, d: _agg(_events, "*", ("event_type",), R.of("COUNT_DISTINCTISH", "user_id", "about"), R.of("COUNT_DISTINCT", "user_id", "users"))(s, d).select("event_type", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("close")),
+        "agg_count_distinctish": lambda s, d: _agg(_events, "*", ("event_type",), R.of("COUNT_DISTINCTISH", "user_id", "about"), R.of("COUNT_DISTINCT", "user_id", "users"))(s, d).select("event_type", (F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users")).alias("close")),
+        "agg_multi_reduce": _agg(_orders, "*", ("o_orderpriority", "o_orderstatus"), R.count("n"), R.of("SUM", "o_totalprice", "total"), R.of("MIN", "o_totalprice", "low"), R.of("MAX", "o_totalprice", "high"), R.of("AVG", "o_totalprice", "mean"), round_=("total", "mean")),
+        "agg_random_sample": lambda s, d: _agg(_parts, "*", ("p_type",), R("RANDOM_SAMPLE", ("@p_size", 7), "sample"), R.of("TOLIST", "p_size", "sizes"))(s, d).select("p_type", F.size("sample").alias("drawn"), (F.size(F.array_except("sample", "sizes")) == 0).alias("from_group")),
+        "agg_custom_reducer": _custom,
+        "agg_quantile_sketch": lambda s, d: _agg(_orders, "*", ("o_orderstatus",), R.quantile("o_totalprice", 0.5, "about", 0.0005), R.quantile("o_totalprice", 0.498, "low"), R.quantile("o_totalprice", 0.502, "high"))(s, d).select("o_orderstatus", F.expr("about between low and high").alias("close")),
+        "agg_apply_math": _applied(_parts, (), *[Q.Apply(e, n) for n, e in _MATH.items()], round_=tuple(_MATH)),
+        "agg_apply_geo": _applied(_customers, (), Q.Apply("geodistance(@place, '10,20')", "metres"), round_=("metres",)),
         "agg_tolist": _agg(_parts, "*", ("p_type",), R.of("TOLIST", "p_size", "sizes")),
         "agg_quantile": _agg(_events, "*", ("event_type",), R.quantile("value", 0.5, "median"), R.quantile("value", 0.9, "p90")),
         "agg_stddev": _agg(_orders, "*", ("o_orderpriority",), R.of("STDDEV", "o_totalprice", "sd"), round_=("sd",)),
@@ -254,14 +232,6 @@ def queries() -> dict[str, Query]:
         "agg_apply_case": _agg(_orders, "*", ("class",), R.count("n"), apply=(Q.Apply("case(@o_totalprice > 150000 && !(@o_orderstatus == 'O'), 'high', 'low')", "class"),)),
         "agg_hybrid": _agg_hybrid,
         "json_path_filter": _filtered(_events, num("k").between(3, 6)),
-        "nn_join_router": _router,
-        "semantic_cache_check": _cache_check,
-        "embeddings_cache_lookup": lambda s, d: upsert.lookup(_asked(s, d), _cached(s, d), "_key").select("doc_id", "vec_id"),
-        "embeddings_cache_exists": lambda s, d: _asked(s, d).join(_cached(s, d), "_key", "left_semi").select("doc_id"),
-        "embeddings_cache_delete": lambda s, d: upsert.without(_cached(s, d), _asked(s, d).where("long"), "_key").select("_key", "vec_id"),
-        "message_history_recent": lambda s, d: recent(_history(s, d), "session", "sequence", 10).select("session", "message_id", "sequence"),
-        "message_history_role": lambda s, d: recent(_history(s, d).where(tag("role").eq("user").column(_schema(TagField("role", alias="speaker_role")))), "session", "sequence", 3).select("session", "message_id", "sequence"),
-        "semantic_history_relevant": _relevant,
         "upsert_replace": lambda s, d: upsert.replace(*_old_new(s, d), "p_partkey"),
         "upsert_merge": lambda s, d: upsert.merge(*_old_new(s, d), "p_partkey"),
         "upsert_delete": lambda s, d: upsert.without(*_old_new(s, d), "p_partkey"),
@@ -322,16 +292,12 @@ _BM25_SQL = f"""
           FROM (SELECT t.doc_id, t.w, f.term, f.d, len(list_filter(t.w, lambda x: x = f.term)) k FROM t, f) t JOIN f USING (term), s WHERE k > 0 GROUP BY 1)
     SELECT doc_id, round(score, 6) AS score FROM x ORDER BY round(score, 6) DESC, doc_id LIMIT 20"""
 _JOINED = "documents JOIN embeddings ON doc_id = vec_id"
-_HISTORY_SQL = r"""(SELECT *, row_number() OVER (PARTITION BY session ORDER BY message_id) AS sequence FROM
-    (SELECT DISTINCT ON (message_id) *, regexp_replace(session_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS session FROM history_messages ORDER BY message_id))"""
 _OLD = "(SELECT p_partkey, p_brand, p_size FROM part WHERE p_size <= 40)"
 _NEW = "(SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_type) END AS p_brand, p_size + 100 AS p_size FROM part WHERE p_size > 30)"
-_CACHE_SQL = f"(SELECT 'embeddings:docs:' || sha256(text || chr(10) || 'm1') AS k, max(vec_id) AS vec_id FROM {_JOINED} WHERE text <> '' GROUP BY 1)"
-_ASKED_SQL = "(SELECT doc_id, length(text) > 400 AS long, 'embeddings:docs:' || sha256(text || chr(10) || 'm1') AS k FROM documents WHERE text <> '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return queries_index.oracle_sql() | {
         "filter_tag_eq": _docs_sql(f"list_contains({_LANG}, 'en')"),
         "filter_tag_in": _docs_sql(f"list_has_any({_LANG}, ['de', 'fr'])"),
         "filter_tag_not": _docs_sql(f"NOT coalesce(list_contains({_LANG}, 'en'), false)"),
@@ -347,6 +313,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_text_match": _docs_sql(_has("cache")),
         "filter_text_prefix": _docs_sql(f"len(list_filter({_TOKENS}, lambda x: starts_with(x, 'thresh'))) > 0"),
         "filter_text_phrase": _docs_sql(_phrase_sql("vector index")),
+        "filter_text_prefix_of_words": _docs_sql(f"contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' time z')"),
+        "filter_text_suffix": _docs_sql(f"len(list_filter({_TOKENS}, lambda x: ends_with(x, 'shold'))) > 0"),
         "filter_geo_radius_km": _customers_sql(10, 20, 2500 * 1000),
         "filter_geo_radius_mi": _customers_sql(-70, 40, 1200 * 1609.34),
         "filter_geo_radius_m": _customers_sql(10, 20, 1500000),
@@ -368,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_cosine": _knn_sql("cosine"),
         "knn_l2": _knn_sql("l2"),
         "knn_ip": _knn_sql("ip"),
+        "knn_float64": _knn_sql("cosine"),
         "knn_filtered": _knn_sql("cosine", 10, "label BETWEEN 2 AND 5"),
         "knn_paged": _knn_sql("cosine", 10, "true", 10),
         "range_cosine": _range_sql("cosine", 0.85),
@@ -383,6 +352,16 @@ def oracle_sql() -> dict[str, str]:
         "agg_min_max": "SELECT event_type, min(value) AS low, max(value) AS high FROM events GROUP BY 1",
         "agg_count_distinct": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
         "agg_count_distinctish": "SELECT event_type, true AS close FROM events GROUP BY 1",
+        "agg_multi_reduce": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 6) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1, 2",
+        "agg_random_sample": "SELECT p_type, least(count(p_size), 7)::INTEGER AS drawn, true AS from_group FROM part GROUP BY 1",
+        "agg_custom_reducer": "SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1",
+        "agg_quantile_sketch": "SELECT o_orderstatus, true AS close FROM orders GROUP BY 1",
+        "agg_apply_math": """
+            SELECT p_partkey, ceil(p_retailprice / 7) AS up, floor(p_retailprice / 7) AS down, round(sqrt(p_size), 6) AS root, round(ln(p_size), 6) AS "natural", round(log2(p_size), 6) AS "binary", round(exp(p_size / 50.0::DOUBLE), 6) AS grown,
+                   round(p_size * p_size + sqrt(p_size), 6) AS power, abs(p_size - 25)::DOUBLE AS far, NULL::DOUBLE AS "none" FROM part""",
+        "agg_apply_geo": """
+            SELECT c_custkey, round(2 * 6372797.560856 * asin(sqrt(least(1.0, pow(sin(radians(lat - 20) / 2), 2) + cos(radians(20)) * cos(radians(lat)) * pow(sin(radians(lon - 10) / 2), 2)))), 6) AS metres
+            FROM (SELECT c_custkey, (c_custkey * 37) % 360 - 180 AS lon, (c_custkey * 17) % 170 - 85 AS lat FROM customer)""",
         "agg_tolist": "SELECT p_type, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY 1",
         "agg_quantile": "SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY 1",
         "agg_stddev": "SELECT o_orderpriority, round(stddev_samp(o_totalprice), 6) AS sd FROM orders GROUP BY 1",
@@ -395,27 +374,6 @@ def oracle_sql() -> dict[str, str]:
         "agg_apply_case": "SELECT CASE WHEN o_totalprice > 150000 AND o_orderstatus <> 'O' THEN 'high' ELSE 'low' END AS class, count(*) AS n FROM orders GROUP BY 1",
         "agg_hybrid": f"WITH h AS (SELECT lang, 1 - list_cosine_similarity(embedding::DOUBLE[], {_Q}) d FROM {_JOINED} WHERE {_has('the')} ORDER BY 2, doc_id LIMIT 100) SELECT lang, count(*) AS n, round(avg(d), 6) AS mean FROM h GROUP BY 1",
         "json_path_filter": "SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 3 AND 6",
-        "nn_join_router": """
-            WITH p AS (SELECT label, i, avg(x::DOUBLE) x FROM (SELECT label, unnest(embedding) x, generate_subscripts(embedding, 1) i FROM embeddings) GROUP BY ALL),
-            c AS (SELECT label, list(x ORDER BY i) c FROM p GROUP BY 1),
-            d AS (SELECT vec_id, c.label, 1 - list_cosine_similarity(embedding::DOUBLE[], c) d FROM embeddings e, c),
-            r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) r FROM d)
-            SELECT vec_id, label, round(d, 6) AS distance FROM r WHERE r = 1 AND d <= 0.9""",
-        "semantic_cache_check": """
-            WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2 d
-                       FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
-            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) r FROM d)
-            SELECT query_id, vec_id, round(d, 6) AS distance FROM r WHERE r = 1 AND d <= 1.5""",
-        "embeddings_cache_lookup": f"SELECT doc_id, vec_id FROM {_ASKED_SQL} LEFT JOIN {_CACHE_SQL} USING (k)",
-        "embeddings_cache_exists": f"SELECT doc_id FROM {_ASKED_SQL} SEMI JOIN {_CACHE_SQL} USING (k)",
-        "embeddings_cache_delete": f"SELECT k AS _key, vec_id FROM {_CACHE_SQL} ANTI JOIN (SELECT * FROM {_ASKED_SQL} WHERE long) USING (k)",
-        "message_history_recent": f"SELECT session, message_id, sequence FROM {_HISTORY_SQL} QUALIFY row_number() OVER (PARTITION BY session ORDER BY sequence DESC) <= 10",
-        "message_history_role": f"SELECT session, message_id, sequence FROM {_HISTORY_SQL} WHERE list_contains(list_transform(string_split(speaker_role, ','), lambda x: lower(trim(x))), 'user') QUALIFY row_number() OVER (PARTITION BY session ORDER BY sequence DESC) <= 3",
-        "semantic_history_relevant": f"""
-            WITH n AS (SELECT vec_id, {_distance_sql('cosine')} AS distance FROM embeddings),
-            r AS (SELECT session, message_id, distance, row_number() OVER (PARTITION BY session ORDER BY distance, sequence DESC) AS place
-                  FROM {_HISTORY_SQL} m JOIN n ON n.vec_id = m.message_id % 500 WHERE distance <= 0.95)
-            SELECT * FROM r WHERE place <= 5""",
         "upsert_replace": f"SELECT * FROM {_OLD} ANTI JOIN {_NEW} USING (p_partkey) UNION ALL SELECT * FROM {_NEW}",
         "upsert_merge": f"SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey, coalesce(n.p_brand, o.p_brand) AS p_brand, coalesce(n.p_size, o.p_size) AS p_size FROM {_OLD} o FULL JOIN {_NEW} n ON o.p_partkey = n.p_partkey",
         "upsert_delete": f"SELECT * FROM {_OLD} ANTI JOIN {_NEW} USING (p_partkey)",

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecframe.runtime import numbered
 from vecframe.functions.text import analyze
 from vecframe.vectorizers import Post, http_post
 
@@ -147,6 +148,10 @@ class OnnxScorer:
         return {"path": self.path, "_session": None}
 
     def __call__(self, ids: list[int], mask: list[int], kinds: list[int]) -> float:
+        return self.batch([(ids, mask, kinds)])[0]
+
+    def batch(self, pairs: list[tuple[list[int], list[int], list[int]]]) -> list[float]:
+        """The scores of several pairs in one call of the model, the shorter ones padded and masked."""
         if self._session is None:
             import onnxruntime
 
@@ -154,22 +159,36 @@ class OnnxScorer:
         inputs = {i.name: i.type for i in self._session.get_inputs()}
         if "input_ids" not in inputs:
             raise ValueError("the model has no input_ids")
-        values = {"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds}
-        feed = {n: np.array([values[n]], np.int32 if inputs[n] == "tensor(int32)" else np.int64) for n in inputs if n in values}
+        width = max(len(ids) for ids, _, _ in pairs)
+        padded = [[x + [0] * (width - len(x)) for x in column] for column in zip(*pairs)]
+        values = dict(zip(("input_ids", "attention_mask", "token_type_ids"), padded))
+        feed = {n: np.array(values[n], np.int32 if inputs[n] == "tensor(int32)" else np.int64) for n in inputs if n in values}
         out = np.asarray(self._session.run(None, feed)[0])
-        if out.size != 1:
-            raise ValueError(f"one score was expected, not {out.size}")
-        return float(out.reshape(-1)[0])
+        if out.size != len(pairs):
+            raise ValueError(f"{len(pairs)} scores were expected, not {out.size}")
+        return out.reshape(-1).astype(float).tolist()
 
 
 class CrossEncoderReranker:
-    """Scores each (query, document) pair with a local model."""
+    """Scores (query, document) pairs with a local model, in batches of pairs of like length if it takes these."""
 
-    def __init__(self, tokenizer: WordPieceTokenizer, scorer: Callable[[list[int], list[int], list[int]], float], threshold: float | None = None) -> None:
-        self.tokenizer, self.scorer, self.threshold = tokenizer, scorer, threshold
+    def __init__(self, tokenizer: WordPieceTokenizer, scorer: Callable[[list[int], list[int], list[int]], float], threshold: float | None = None, batch_size: int = 32) -> None:
+        self.tokenizer, self.scorer, self.threshold, self.batch_size = tokenizer, scorer, threshold, batch_size
 
     def rerank(self, request: RerankRequest) -> list[RerankResult]:
-        return ranked(request, [self.scorer(*self.tokenizer.encode(request.query, d.text)) for d in request.documents], self.threshold)
+        return ranked(request, self.scores(request.query, [d.text for d in request.documents]), self.threshold)
+
+    def scores(self, query: str, texts: list[str]) -> list[float]:
+        pairs = [self.tokenizer.encode(query, t) for t in texts]
+        if not hasattr(self.scorer, "batch"):
+            return [self.scorer(*p) for p in pairs]
+        out = [0.0] * len(pairs)
+        order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+        for i in range(0, len(order), self.batch_size):
+            some = order[i : i + self.batch_size]
+            for at, score in zip(some, self.scorer.batch([pairs[x] for x in some])):
+                out[at] = score
+        return out
 
 
 class HostedReranker:
@@ -210,8 +229,11 @@ def rerank_frame(df: DataFrame, score: Column, ties: str, top_n: int | None = No
     """Rows with ``score`` and ``rank``, best first, of the whole table or of each group."""
     rows = df.withColumn("score", score)
     rows = rows.where(F.col("score").isNotNull() if threshold is None else F.col("score") >= threshold)
-    if not groups and top_n is not None:
-        rows = rows.orderBy(F.desc("score"), ties).limit(top_n)
-    order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.desc("score"), ties)
+    best = [F.desc("score"), F.col(ties)]
+    if not groups:  # numbered over all partitions, for a window over the whole table is one task
+        if top_n is not None:
+            rows = rows.orderBy(*best).limit(top_n)
+        return numbered(rows.orderBy(*best), "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    order = Window.partitionBy(*groups).orderBy(*best)
     out = rows.withColumn("rank", F.row_number().over(order))
     return out if top_n is None else out.where(F.col("rank") <= top_n)

@@ -7,6 +7,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, is_dataclass
 from functools import cached_property
 from typing import Any
@@ -357,6 +358,16 @@ class SearchIndex:
     def count(self, query: Q.CountQuery) -> int:
         return self.planner().count(query)
 
+    @contextmanager
+    def cancellable(self, tag: str | None = None) -> Iterator[Callable[[], None]]:
+        """What runs within is cancelled, from any thread, by the function that this gives."""
+        name = tag or f"{self.name}-{time.time_ns()}"
+        self.spark.addTag(name)
+        try:
+            yield lambda: self.spark.interruptTag(name)
+        finally:
+            self.spark.removeTag(name)
+
     def batches(self, query: Q.Query | Q.Aggregation, size: int | None = None) -> Iterator[DataFrame]:
         """Pages of one snapshot of the result, which is written once. Its rows are numbered, so that a page is a filter."""
         if size is not None and size <= 0:

@@ -203,6 +203,10 @@ class DocumentStore:
     def delete(self, keys: list[str], now: Column | None = None) -> int:
         return self._change(lambda state: self._deletion(self.get(keys, now)))
 
+    def delete_frame(self, keys: DataFrame, now: Column | None = None) -> int:
+        """Delete the rows of the keys of a frame."""
+        return self._change(lambda state: self._deletion(self.read(now).join(keys.select(KEY), KEY, "left_semi")))
+
     def delete_prefixes(self, prefixes: tuple[str, ...], now: Column | None = None) -> int:
         return self._change(lambda state: self._deletion(self.read(now).where(starts_with(F.col(KEY), prefixes))))
 

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecframe.caches import _text, sha256
+from vecframe.functions.vectors import distance_to
 from vecframe.operators.nearest import nearest_of_few
 from vecframe.plans.filters import Filter
+from vecframe.plans.planner import Planner
 from vecframe.plans.queries import Page, RangeQuery
 from vecframe.schema import IndexDefinition, Metric, NumericField, SearchSchema, TagField, TextField, VectorField, VectorType
 from vecframe.sources.index import SearchIndex
@@ -33,12 +35,12 @@ class RouteMatch:
 class SemanticRouter:
     """The route of the nearest reference within a threshold."""
 
-    def __init__(self, spark: SparkSession, warehouse: str, name: str, dims: int, threshold: float, metric: Metric = Metric.COSINE) -> None:
+    def __init__(self, spark: SparkSession, warehouse: str, name: str, dims: int, threshold: float, metric: Metric = Metric.COSINE, vector_type: VectorType = VectorType.FLOAT32) -> None:
         if not (math.isfinite(threshold) and threshold > 0):
             raise ValueError("the threshold must be finite and positive")
         self.prefix = f"router:{_text(name, 'the name').strip()}:"
         self.threshold = threshold
-        fields = (TextField("routeName"), TextField("reference"), VectorField("embedding", dims=dims, metric=metric))
+        fields = (TextField("routeName"), TextField("reference"), VectorField("embedding", dims=dims, metric=metric, datatype=vector_type))
         self.index = SearchIndex(spark, warehouse, SearchSchema(IndexDefinition(self.prefix.rstrip(":"), (self.prefix,)), fields))
 
     def create(self, **options: bool) -> bool:
@@ -138,8 +140,17 @@ class MessageHistory:
 
     def _where(self, session: str, role: str | None) -> DataFrame:
         rows = self.index.documents().where(F.col("sessionId") == _text(session, "the session").strip())
+        return self._of(rows, role)
+
+    def _of(self, rows: DataFrame, role: str | None) -> DataFrame:
         return rows if role is None else rows.where(Filter.tag("role").eq(role).column(self.index.schema))
 
+    def recent_frame(self, limit: int = 10, role: str | None = None) -> DataFrame:
+        """The last messages of every session, as rows of the index."""
+        if limit <= 0:
+            raise ValueError("the limit must be positive")
+        return recent(self._of(self.index.documents(), role), "sessionId", "sequence", limit, "timestamp")
+
     @staticmethod
     def _message(r: Any, distance: float | None = None) -> Message:
         return Message(r["sessionId"], r["role"], r["content"], int(r["timestamp"]), json.loads(r["metadata"]) if r["metadata"] else None, int(r["sequence"]), r[KEY], distance)
@@ -177,8 +188,16 @@ class SemanticMessageHistory(MessageHistory):
         if limit <= 0:
             raise ValueError("the limit must be positive")
         vector = embedding if embedding is not None else vectorizer.vectorize(_text(text, "the text"))
-        from vecframe.plans.planner import Planner
-
         plan = Planner(self.index.schema, self._where(session, role))
         rows = plan.nearest(RangeQuery("embedding", vector, threshold or self.threshold, score_alias="distance")).orderBy("distance", F.desc("sequence")).limit(limit)
         return [self._message(r, r["distance"]) for r in rows.collect()]
+
+    def relevant_frame(self, embedding: Sequence[float], limit: int = 5, role: str | None = None, threshold: float | None = None) -> DataFrame:
+        """The nearest messages of every session within the threshold, with ``distance`` and ``place``; ties go to the newer."""
+        if limit <= 0:
+            raise ValueError("the limit must be positive")
+        plan = Planner(self.index.schema, self._of(self.index.documents(), role))
+        f, vector = plan.vector_field("embedding", embedding)
+        near = plan.df.withColumn("distance", distance_to(f.metric, F.col(f.column), vector)).where(F.col("distance") <= (threshold or self.threshold))
+        order = Window.partitionBy("sessionId").orderBy("distance", F.desc("sequence"))
+        return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
