@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,12 @@ def encoding(vocabulary: str):
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of each text; null of a null text."""
 
+    name = os.path.basename(vocabulary)
+
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(vocabulary).encode_ordinary
+        sent = SparkFiles.get(name)  # sent along by p6_pack, so that no executor needs a file of its own
+        encode = encoding(sent if os.path.exists(sent) else vocabulary).encode_ordinary
         for b in batches:
             yield pd.Series([None if t is None else len(encode(t)) for t in b], dtype="Int64")
 
@@ -90,5 +95,22 @@ def pack(df: DataFrame, id_col: str, size: Column, capacity: int = CAPACITY, gro
     return rest.groupBy("grp").applyInPandas(fit, schema).unionByName(whole)
 
 
+def p6_totals(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row on the packing of all documents: how many are placed, and how many break a rule.
+
+    overfull: containers beyond the capacity; cut_short: documents cut though they fit; broken: documents whose pieces do
+    not follow each other from token 0; compact: whether the containers are at most 2 % and one a group more than the tokens need.
+    """
+    placed = materialize(p6_pack(docs, vocabulary))
+    loads = placed.groupBy("container").agg(F.sum("tokens").alias("load")).agg(F.count(F.when(F.col("load") > CAPACITY, 1)).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("load"), F.lit(0)).alias("all")).first()
+    of_each = placed.groupBy("id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("size"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.min("first_token").alias("start"), F.sum(F.when(F.col("first_token") != F.col("piece") * CAPACITY, 1).otherwise(0)).alias("astray"))
+    totals = of_each.agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("size") <= CAPACITY) & (F.col("pieces") > 1), 1)).alias("cut_short"),
+        F.count(F.when((F.col("start") != 0) | (F.col("end") != F.col("size")) | (F.col("astray") > 0), 1)).alias("broken"))
+    compact = F.lit(loads["containers"]) <= 1.02 * loads["all"] / CAPACITY + 1 + F.col("documents") / GROUP_ITEMS
+    return totals.select("documents", F.lit(loads["overfull"]).cast("long").alias("overfull"), "cut_short", "broken", compact.alias("compact"))
+
+
 def p6_pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     return pack(spread(docs.select("doc_id", "text")), "doc_id", token_count(F.col("text"), vocabulary))
