@@ -131,3 +131,46 @@ def test_pages_of_a_long_result(spark, tmp_path):
     got = [[r["_key"] for r in b.collect()] for b in i.batches(Q.FilterQuery(Filter.numeric("pages").eq(3), ("pages",)), 30)]
     whole = [f"p:{n:04d}" for n in range(500) if n % 7 == 3]
     assert [len(b) for b in got] == [30, 30, 11] and sum(got, []) == whole
+
+
+def test_fields_that_are_not_indexed_or_missing(spark):
+    from vecframe.plans.planner import Planner
+    from vecframe.plans.querylang import parse
+
+    fields = (TextField("t", sortable=True, no_index=True), TagField("g", index_missing=True), NumericField("n", sortable=True, no_index=True))
+    plan = Planner(SearchSchema(IndexDefinition("i", ("i:",)), fields), spark.createDataFrame([("a", "word", "x", 1.0), ("b", "word", None, 2.0)], "_key string, t string, g string, n double"))
+    assert keys(plan.ranked(Q.FilterQuery(Filter.missing("g")))) == ["b"] and keys(plan.search(Q.TextQuery("-ismissing(@g)"))) == ["a"]
+    assert parse("ismissing(@g) word").render() == "ismissing(@g) word"
+    assert keys(plan.ranked(Q.FilterQuery(Filter.text("t").match("word")))) == [] == keys(plan.ranked(Q.FilterQuery(Filter.numeric("n").gt(0))))
+    try:
+        plan.where(Filter.missing("n"))
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_a_cache_with_names_of_its_own(spark, tmp_path):
+    from vecframe.caches import SemanticCache
+
+    c = SemanticCache(spark, str(tmp_path), "s", 2, 0.3, names={"prompt": "question", "embedding": "vector"})
+    c.create()
+    c.store("p", "r", [1, 0], metadata={"n": 1})
+    hit = c.check(embedding=[1, 0.01])
+    assert (hit.prompt, hit.response, hit.metadata) == ("p", "r", {"n": 1}) and c.index.name == "semantic-cache:s"
+    for bad in ({"answer": "x"}, {"prompt": "response"}):
+        try:
+            SemanticCache(spark, str(tmp_path), "s", 2, 0.3, names=bad)
+            raise AssertionError
+        except ValueError:
+            pass
+
+
+def test_reducers_of_the_users_own_and_samples(spark):
+    from vecframe.plans.planner import Planner, register_reducer
+
+    register_reducer("SPREAD", lambda x: F.max(x) - F.min(x))
+    rows = spark.range(300).selectExpr("cast(id as string) as _key", "cast(id % 3 as string) as g", "cast(id as double) as n")
+    plan = Planner(SearchSchema(IndexDefinition("i", ("i:",)), (TagField("g"), NumericField("n"))), rows)
+    by = Q.GroupBy(("g",), (Q.Reducer("SPREAD", ("@n",), "spread"), Q.Reducer("RANDOM_SAMPLE", ("@n", 4), "some")))
+    got = plan.aggregated(Q.AggregationQuery("*", Q.Pipeline((), (), by))).collect()
+    assert {r["spread"] for r in got} == {297.0} and all(len(set(r["some"])) == 4 and {int(x) % 3 for x in r["some"]} == {int(r["g"])} for r in got)

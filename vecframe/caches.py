@@ -152,16 +152,23 @@ class SemanticCache:
 
     RESERVED = ("prompt", "response", "metadata", "embedding", "distance")
 
-    def __init__(self, spark: SparkSession, warehouse: str, name: str, dims: int, threshold: float, namespace: str | None = None, ttl: float | None = None, metric: Metric = Metric.COSINE, filterable: Sequence[Field] = ()) -> None:
+    def __init__(self, spark: SparkSession, warehouse: str, name: str, dims: int, threshold: float, namespace: str | None = None, ttl: float | None = None, metric: Metric = Metric.COSINE, filterable: Sequence[Field] = (), names: dict[str, str] | None = None) -> None:
         if not (math.isfinite(threshold) and threshold > 0):
             raise ValueError("the threshold must be finite and positive")
+        own = {k: k for k in self.RESERVED[:4]} | {k: _text(v, f"the name of {k}").strip() for k, v in (names or {}).items()}
+        if set(own) != set(self.RESERVED[:4]) or len(set(own.values())) != 4:
+            raise ValueError(f"names are for {', '.join(self.RESERVED[:4])}, each its own")
+        self.names = own
         for f in filterable:
+            if f.name in own.values():
+                raise ValueError(f"field {f.name} can't be filtered by")
             if f.kind not in ("tag", "text", "numeric") or f.alias or f.name in self.RESERVED:
                 raise ValueError(f"field {f.name} can't be filtered by")
         self.prefix = f"semantic:{_text(name, 'the name').strip()}:" + (f"{_text(namespace, 'the namespace').strip()}:" if namespace is not None else "")
         self.threshold, self.ttl, self.filterable = threshold, _ttl(ttl), {f.name: f for f in filterable}
-        fields = (TextField("prompt"), TextField("response"), TextField("metadata"), *filterable, VectorField("embedding", dims=dims, metric=metric, datatype=VectorType.FLOAT32))
-        self.index = SearchIndex(spark, warehouse, SearchSchema(IndexDefinition(self.prefix.rstrip(":"), (self.prefix,)), fields))
+        fields = (TextField(own["prompt"]), TextField(own["response"]), TextField(own["metadata"]), *filterable, VectorField(own["embedding"], dims=dims, metric=metric, datatype=VectorType.FLOAT32))
+        index_name = "semantic-cache:" + self.prefix.removeprefix("semantic:").rstrip(":")
+        self.index = SearchIndex(spark, warehouse, SearchSchema(IndexDefinition(index_name, (self.prefix,)), fields))
 
     def create(self, overwrite: bool = False, skip_if_exists: bool = True) -> bool:
         if skip_if_exists and not overwrite and (entry := self.index.catalog.get(self.index.name)):
@@ -201,11 +208,12 @@ class SemanticCache:
     def store(self, prompt: str, response: str, embedding: Sequence[float] | None = None, metadata: Any = None, filters: dict[str, Any] | None = None, ttl: float | None = None, vectorizer: Vectorizer | None = None) -> str:
         values = self._filters(filters or {})
         vector = list(embedding) if embedding is not None else vectorizer.vectorize(prompt)
-        f = self.index.schema.resolve("embedding")
+        n = self.names
+        f = self.index.schema.resolve(n["embedding"])
         if len(vector) != f.dims:
             raise ValueError(f"the embedding needs {f.dims} parts")
         key = self.key(prompt, values)
-        doc = {"prompt": prompt, "response": _text(response, "the response"), "metadata": None if metadata is None else json.dumps(metadata), "embedding": vector} | values
+        doc = {n["prompt"]: prompt, n["response"]: _text(response, "the response"), n["metadata"]: None if metadata is None else json.dumps(metadata), n["embedding"]: vector} | values
         self.index.load_frame(self.index._rows([(key, doc)]), ttl=_ttl(ttl) if ttl is not None else self.ttl)
         return key
 
@@ -213,15 +221,17 @@ class SemanticCache:
         if filter is not None and not self.filterable:
             raise ValueError("the cache has no fields to filter by")
         vector = embedding if embedding is not None else vectorizer.vectorize(_text(prompt, "the prompt"))
-        query = RangeQuery("embedding", vector, threshold or self.threshold, filter, ("prompt", "response", "metadata"), "distance", page=Page(0, 1))
+        n = self.names
+        query = RangeQuery(n["embedding"], vector, threshold or self.threshold, filter, (n["prompt"], n["response"], n["metadata"]), "distance", page=Page(0, 1))
         rows = self.index.planner().search(query).collect()
         if not rows:
             return None
         r = rows[0]
-        return CacheHit(r["prompt"], r["response"], r["distance"], json.loads(r["metadata"]) if r["metadata"] else None, r[KEY])
+        meta = r[n["metadata"]]
+        return CacheHit(r[n["prompt"]], r[n["response"]], r["distance"], json.loads(meta) if meta else None, r[KEY])
 
     def check_frame(self, requests: DataFrame, request_id: str, vector: str, filter: Node | None = None, k: int = 1) -> DataFrame:  # noqa: A002
         """The ``k`` nearest stored entries within the threshold of every request that has one."""
         plan = self.index.planner()
-        near = plan.nearest_join(requests, request_id, vector, "embedding", k, self.threshold, filter)
-        return near.join(plan.df.select(KEY, "prompt", "response", "metadata"), KEY)
+        near = plan.nearest_join(requests, request_id, vector, self.names["embedding"], k, self.threshold, filter)
+        return near.join(plan.df.select(KEY, *(F.col(self.names[c]).alias(c) for c in ("prompt", "response", "metadata"))), KEY)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecframe.runtime import BROADCAST_BYTES
+from vecframe.runtime import BROADCAST_BYTES, materialize
 from vecframe.schema import Metric
 
 
@@ -50,28 +50,22 @@ def _scan(block, metric: Metric, dims: int, k: int, threshold: float | None):
 def nearest_join(queries: DataFrame, query_id: str, query_vector: str, docs: DataFrame, key: str, vector: str, metric: Metric, dims: int, k: int = 1, threshold: float | None = None) -> DataFrame:
     """(query_id, key, distance): the ``k`` nearest documents of each query, equal distances by the smaller key.
 
-    Queries are the small side: they are sent to the executors in blocks of a checked size, and each block scans the
-    documents once and leaves ``k`` rows a query and partition. Nulls and vectors of another length take no part.
+    Queries are the small side: they are sent to the executors in blocks of a checked size, one at a time through the
+    driver as Arrow, and each block scans the documents once and leaves ``k`` rows a query and partition. Nulls and
+    vectors of another length take no part.
     """
     spark = queries.sparkSession
     names = dict(docs.dtypes)[key], dict(queries.dtypes)[query_id]
     size = max(1, BROADCAST_BYTES // (dims * 8))
     slim = docs.select(F.col(key).alias("key"), F.col(vector).alias("vector")).where(F.col(vector).isNotNull())
-    ids, rows, parts = [], [], []
-
-    def flush() -> None:
-        if ids:
-            block = spark.sparkContext.broadcast((np.array(ids), np.array(rows, np.float64)))
+    asked = materialize(queries.select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector")).where(F.size(query_vector) == dims))
+    blocks, parts = -(-asked.count() // size), []
+    for i in range(blocks):  # by a hash, so that a block is about as large as every other
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
+        if len(part):
+            vectors = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            block = spark.sparkContext.broadcast((part["id"].to_numpy(), vectors))
             parts.append(slim.mapInPandas(_scan(block, metric, dims, k, threshold), f"query {names[1]}, key {names[0]}, distance double"))
-            ids.clear()
-            rows.clear()
-
-    for r in queries.select(query_id, query_vector).where(F.size(query_vector) == dims).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == size:
-            flush()
-    flush()
     if not parts:
         return spark.createDataFrame([], f"{query_id} {names[1]}, {key} {names[0]}, distance double")
     found = reduce(DataFrame.unionAll, parts)

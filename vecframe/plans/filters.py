@@ -76,12 +76,32 @@ class Tag(Node):
     def column(self, schema, types=None) -> Column:
         f = schema.resolve(self.field, "tag")
         assert isinstance(f, TagField)
+        if f.no_index:
+            return F.lit(False)
         c = F.col(f.column)
         fold = (lambda x: F.trim(x)) if f.case_sensitive else (lambda x: F.lower(F.trim(x)))
         wanted = [v.strip() if f.case_sensitive else v.strip().lower() for v in self.values]
         if types and isinstance(types.get(f.column), T.ArrayType):
             return F.exists(c, lambda x: fold(x).isin(wanted))
-        return F.exists(F.split(c, re.escape(f.separator)), lambda x: fold(x).isin(wanted))
+        hit = F.exists(F.split(c, re.escape(f.separator)), lambda x: fold(x).isin(wanted))
+        # of one tag in its own case the scan can tell where it does not occur
+        return c.contains(wanted[0]) & hit if f.case_sensitive and len(wanted) == 1 else hit
+
+
+@dataclass(frozen=True)
+class Missing(Node):
+    """Documents without the field, which must be one that indexes its absence."""
+
+    field: str
+
+    def render(self) -> str:
+        return f"ismissing(@{self.field})"
+
+    def column(self, schema, types=None) -> Column:
+        f = schema.resolve(self.field)
+        if not f.index_missing:
+            raise ValueError(f"field {self.field} does not index where it is missing")
+        return F.col(f.column).isNull()
 
 
 @dataclass(frozen=True)
@@ -98,6 +118,8 @@ class Range(Node):
         return f"@{self.field}:[{low} {high}]"
 
     def column(self, schema, types=None) -> Column:
+        if schema.resolve(self.field, "numeric").no_index:
+            return F.lit(False)
         c = F.col(schema.resolve(self.field, "numeric").column)
         if types and isinstance(types.get(schema.resolve(self.field).column), T.StringType):
             c = c.try_cast("double")
@@ -119,10 +141,10 @@ WORDS = "_words_"
 
 def text_fields(schema: SearchSchema, field: str | None) -> list[str]:
     if field is None:
-        return [f.column for f in schema.of_kind("text")]
+        return [f.column for f in schema.of_kind("text") if not f.no_index]
     if schema.index.no_fields:
         raise ValueError("the index keeps no fields: text can't be searched by field")
-    return [schema.resolve(n, "text").column for n in field.split("|")]
+    return [f.column for f in (schema.resolve(n, "text") for n in field.split("|")) if not f.no_index]
 
 
 def _text_columns(schema: SearchSchema, field: str | None, types: dict[str, T.DataType] | None) -> list[Column]:
@@ -213,6 +235,8 @@ class Radius(Node):
         return f"@{self.field}:[{_number(self.lon)} {_number(self.lat)} {_number(self.radius)} {self.unit}]"
 
     def column(self, schema, types=None) -> Column:
+        if schema.resolve(self.field, "geo").no_index:
+            return F.lit(False)
         return geo.within(F.col(schema.resolve(self.field, "geo").column), self.lon, self.lat, self.radius, self.unit)
 
 
@@ -348,6 +372,10 @@ class Filter:
     def any(*children: Node) -> Node:
         return Filter._group(children, False)
 
+    @staticmethod
+    def missing(field: str) -> Node:
+        return Missing(_given(field, "the field"))
+
     @staticmethod
     def negate(child: Node) -> Node:
         return Not(child)

@@ -6,7 +6,7 @@ import math
 import re
 
 from vecframe.functions.geo import UNITS
-from vecframe.plans.filters import Affix, Everything, Fuzzy, Group, Node, Not, Optional, Phrase, Radius, Range, Tag, Term
+from vecframe.plans.filters import Affix, Everything, Fuzzy, Group, Missing, Node, Not, Optional, Phrase, Radius, Range, Tag, Term
 
 _BOUND = re.compile(r"\(?[+-]?(?:inf|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)$")
 
@@ -73,6 +73,13 @@ class _Parser:
             return node
         if self.take("@"):
             return self.scoped()
+        if self.text.startswith("ismissing(", self.at):
+            end = self.text.find(")", self.at)
+            name = self.text[self.at + len("ismissing(") : end].strip() if end > 0 else ""
+            if not name.startswith("@") or len(name) < 2:
+                raise self.fail("a field expected")
+            self.at = end + 1
+            return Missing(name[1:])
         if c == '"':
             return Phrase(field, self.quoted())
         if c == "%":

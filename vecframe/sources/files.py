@@ -18,7 +18,9 @@ class Files:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
-        return self._at("").getFileSystem(self._conf)
+        fs = self._at("").getFileSystem(self._conf)
+        # local files without the sum that Hadoop keeps beside each, for the two can't be replaced at once
+        return fs.getRawFileSystem() if fs.getUri().getScheme() == "file" and hasattr(fs, "getRawFileSystem") else fs
 
     def read(self, name: str) -> str | None:
         fs, at = self._fs(), self._at(name)
@@ -36,6 +38,9 @@ class Files:
         stream = fs.create(draft, True)
         stream.write(bytearray(text.encode()))
         stream.close()
+        if fs.getUri().getScheme() == "file":
+            fs.rename(draft, self._at(name))  # replaces what is there, as the operating system does
+            return
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
         how = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
         how[0] = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE

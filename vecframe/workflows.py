@@ -18,6 +18,7 @@ from vecframe.operators.nearest import nearest_of_few
 from vecframe.plans.filters import Filter
 from vecframe.plans.planner import Planner
 from vecframe.plans.queries import Page, RangeQuery
+from vecframe.runtime import numbered
 from vecframe.schema import IndexDefinition, Metric, NumericField, SearchSchema, TagField, TextField, VectorField, VectorType
 from vecframe.sources.index import SearchIndex
 from vecframe.sources.store import KEY
@@ -83,12 +84,20 @@ class Message:
 
 
 def sequenced(rows: DataFrame, session: str, order: list[Column], last: DataFrame | None = None) -> DataFrame:
-    """Rows with the next ``sequence`` of their session, on from ``last`` (session, sequence)."""
-    number = F.row_number().over(Window.partitionBy(session).orderBy(*order))
-    if last is None:
-        return rows.withColumn("sequence", number.cast("long"))
-    known = last.select(F.col(last.columns[0]).alias(session), F.col(last.columns[1]).alias("_last"))
-    return rows.withColumn("_n", number).join(known, session, "left").withColumn("sequence", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("long")).drop("_n", "_last")
+    """Rows with the next ``sequence`` of their session, on from ``last`` (session, sequence).
+
+    The rows are numbered in the order of sessions over all partitions, so a session of any length is spread over many.
+    """
+    placed = numbered(rows.orderBy(session, *order), "_place")
+    first = placed.groupBy(session).agg(F.min("_place").alias("_first"))
+    if last is not None:
+        known = last.select(F.col(last.columns[0]).alias(session), F.col(last.columns[1]).alias("_last"))
+        first = first.join(known, session, "left")
+    else:
+        first = first.withColumn("_last", F.lit(0))
+    begun = first.select(F.col(session).alias("_session"), (F.coalesce("_last", F.lit(0)) - F.col("_first") + 1).cast("long").alias("_shift"))
+    same = F.col(session).eqNullSafe(F.col("_session"))
+    return placed.join(begun, same).withColumn("sequence", F.col("_place") + F.col("_shift")).drop("_place", "_session", "_shift")
 
 
 def recent(rows: DataFrame, sessions: str, sequence: str, n: int, timestamp: str | None = None) -> DataFrame:
