@@ -471,12 +471,13 @@ def _exact(asked, width: int, k: int):
 def _completed(best: DataFrame, rows: DataFrame, width: int, k: int) -> DataFrame:
     """``best`` with lists that the forest left too short replaced: their vectors, in blocks, against all rows."""
     best = materialize(best)
-    need = min(k, best.count() - 1)
+    sizes = {r[0]: r[1] for r in best.groupBy(F.size("near")).count().collect()}  # k + 1 rows at most
+    need = min(k, sum(sizes.values()) - 1)
     if need < 1:
         return best.limit(0)
-    short = best.where(F.size("near") < need).select("id")
-    if not short.take(1):
+    if min(sizes) >= need:
         return best
+    short = best.where(F.size("near") < need).select("id")
     asked = materialize(rows.join(short, "id", "left_semi").dropDuplicates(["id"]))
     size = max(1, BROADCAST_BYTES // (8 * width))
     blocks = max(1, -(-asked.count() // size))

@@ -26,11 +26,11 @@ from vecframe.runtime import BROADCAST_BYTES, broadcast_if, materialize, spread
 
 #: Labelled documents of each language that the classifier is fitted on, at most, and their characters, but for the last
 #: document; their choice goes by a hash of the id. Languages that the classifier knows at most, those of most documents.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 300, 600_000, 250
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 300, 300_000, 250
 #: Languages from which on a word that none of them has far more often than the next one tells nothing.
 SHARED_BY = 4
 #: Responses that the model of refusals takes for answers, by a hash of their id.
-SAMPLE_RESPONSES = 4000
+SAMPLE_RESPONSES = 2000
 #: A text ends after its last characters less often than this: it is truncated.
 END_SHARE = 0.08
 #: Characters of an ending, longest first, and how often it must occur to count.
