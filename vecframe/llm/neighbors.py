@@ -385,8 +385,7 @@ def _search(width: int, k: int, leaf_rows: int, probes: int, slack: float, refin
     def search(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         _, once = np.unique(ids, return_index=True)
-        if len(once) < len(ids):
-            table = table.take(pa.array(once))
+        table = table.take(pa.array(once))  # by id, so that the same rows give the same trees in any order
         ids, home = table["id"].to_numpy(), table["home"].to_numpy()
         raw = _floats(table["vec"], width)
         rng = np.random.default_rng(int(table["leaf"][0].as_py()) + 1)
@@ -523,6 +522,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
     sample_rows = min(max(sample_rows, total // 500), max(sample_rows, most_sample_rows))
     share = min(1.0, 1.2 * sample_rows / max(total, 1))  # some of these vectors may be unusable
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows + sample_rows // 2).toArrow()
+    picked = picked.take(pa.array(np.argsort(picked["id"].to_numpy(), kind="stable")))
     x, _ = _matrix(picked["vec"], width) if len(picked) else (np.zeros((0, width), np.float32), None)
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))[:sample_rows]]
@@ -555,7 +555,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
         best = best.unionByName(others.select("id", "near").dropDuplicates(["id"]))
     if len(anchors):
         answers = materialize(rows.mapInArrow(_answered(hot, width, k, True), "id long, near array<struct<far:double,id:long>>").dropDuplicates(["id"]))
-        best = best.join(answers, "id", "left_anti").unionByName(answers)
+        best = best.join(broadcast_if(answers.select("id"), answers.count(), 16), "id", "left_anti").unionByName(answers)
     return best
 
 
