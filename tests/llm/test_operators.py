@@ -171,6 +171,41 @@ def test_neighbors_recall_over_many_leaves(spark):
         assert len(found(df, **options) & truth) >= 0.9 * len(truth)
 
 
+def test_neighbors_move_once_for_leaves_of_one_region(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(12, 64))[rng.integers(0, 12, 4800)] + 0.8 * rng.normal(size=(4800, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "adv_id long, embedding array<float>")
+    before = set(written(spark))
+    near = neighbors.nearest_neighbors(df, "adv_id", "embedding", 64, leaf_rows=100).collect()
+    assert len(near) == 4800 and all(len(r["near"]) == 10 for r in near)
+    # every vector visits four leaves, or nearly so, and each visit alone would move it
+    moved = max(n for stage, n in written(spark).items() if stage not in before)
+    assert moved < 2 * x.nbytes
+
+
+def written(spark):
+    """The bytes that each stage wrote for its shuffle."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_parts_of_leaves():
+    row = np.array([0, 0, 1, 1, 2, 2, 3, 3, 3, 4])
+    leaf = np.array([0, 3, 0, 3, 1, 4, 1, 4, 0, 2])
+    part = neighbors._parts(row, leaf, 6, 3)
+    assert part[0] == part[3] and part[1] == part[4] and len(set(part.tolist())) == 4  # 2 and 5 stay alone
+    assert set(neighbors._parts(row, leaf, 6, 0).tolist()) == set(range(6))
+    assert len(set(neighbors._parts(row, leaf, 6, 9).tolist())) == 3
+
+
+def test_best_of_the_leaves_of_a_part():
+    near = lambda *hits: [{"far": f, "id": i} for f, i in hits]
+    found = pa.table({"id": pa.array([7, 5, 7, 9]), "near": [near((-0.9, 2), (-0.5, 1)), near((-0.1, 7)), near((-0.9, 2), (-0.9, 1)), []]})
+    assert neighbors._best(found, 2).to_pylist() == [{"id": 5, "near": near((-0.1, 7))}, {"id": 7, "near": near((-0.9, 1), (-0.9, 2))}, {"id": 9, "near": []}]
+
+
 # top n
 
 def test_top_n(spark, monkeypatch):
